@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, packing, pii, quality, token_counts
+from . import chat, decontaminate, jaccard_join, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5,
     "op6_quality_rules": quality.op6,
     "op7_best_fit_packing": packing.op7,
+    "op8_jaccard_join": jaccard_join.op8,
     "op10_spaced_seeds": decontaminate.op10,
 }
 ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL}
