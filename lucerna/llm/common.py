@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import zlib
 
@@ -11,10 +10,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Space and the five ASCII controls from tab to carriage return.
-BLANKS = re.compile("[\x20\x09-\x0d]+")
-ASCII_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows in an Arrow batch: texts may be long, so few of them.
 ROWS_A_BATCH = 512
@@ -45,14 +40,9 @@ def crc_bucket(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cases A-Z and splits at blanks."""
-    words = BLANKS.split((text or "").translate(ASCII_LOWER))
-    if words and not words[0]:
-        words = words[1:]
-    if words and not words[-1]:
-        words = words[:-1]
-    return words
+def words_of(text: str | None) -> list[bytes]:
+    """Words in UTF-8: bytes.lower() lowers A-Z alone, bytes.split() splits at space and tab to carriage return alone."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 class WordHashes(dict):
@@ -62,13 +52,13 @@ class WordHashes(dict):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
-    def of(self, words: list[str]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -107,18 +97,32 @@ def signed(values: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (node, component): the smallest node that links reach.
 
-    Each round every node takes the smallest label around it and then its label's label; only rows move,
-    no component is gathered anywhere. Null ends and empty input give no rows; repeated pairs do no harm.
+    Each round every node hooks to its smallest neighbour, follows that one's hook twice, and the graph is contracted
+    to the nodes hooked to; only rows move, no component is gathered anywhere. The smallest node of a component hooks
+    to none, so it is what remains. Null ends and empty input give no rows; repeated pairs do no harm.
     """
-    edges = edges.where("a is not null and b is not null and a <> b")
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = checkpointed(lower.join(up, "component", "left").select("node", "was", F.coalesce(F.least("component", "root"), "component").alias("component")))
-        changed = new.where("was <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        both = edges.union(edges.select("b", "a"))
+        hook = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        for _ in range(2):
+            hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        hook = checkpointed(hook)
+        labels = hook if labels is None else labels.withColumnRenamed("to", "was").join(hook.withColumnRenamed("node", "was"), "was", "left").select("node", F.coalesce("to", "was").alias("to"))
+        a, b = hook.select(F.col("node").alias("a"), F.col("to").alias("x")), hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        edges = checkpointed(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if not edges.limit(1).count():
+            return labels.select("node", F.col("to").alias("component"))
+
+
+def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Labels (node, component) so far, with further links: only the components are linked anew."""
+    if labels is None:
+        return checkpointed(components(edges))
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
+    new = checkpointed(components(checkpointed(between)))
+    old = labels.join(new.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    fresh = new.join(labels, "node", "left_anti")
+    return checkpointed(old.union(fresh))

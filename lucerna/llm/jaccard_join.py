@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, checkpointed, components, mixed, pack_ints, pack_sorted, shuffle_parts, signed, small_batches, table, unpack_ints, unpack_sorted, words_of
+from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, shuffle_parts, signed, small_batches, table, unpack_ints, unpack_sorted, words_of
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles that a task sorts at a time.
@@ -195,12 +195,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.join(left, "a").join(right, "b").select("a", "b", "xa", "xb", "na", "nb").mapInArrow(overlap, "a long, b long")
 
 
-def labelled(entries: DataFrame, links: DataFrame | None) -> DataFrame:
+def labelled(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The entries with the component of their class so far and its size, of those buckets that have more than one."""
-    if links is None:
+    if comp is None:
         e = entries.withColumn("comp", F.col("sig")).withColumn("weight", F.lit(1).cast("long"))
     else:
-        comp = components(links)
         weight = comp.groupBy("component").agg(F.count("*").alias("w"))
         comp = comp.join(weight, "component").select(F.col("node").alias("sig"), "component", "w")
         e = entries.join(comp, "sig", "left").withColumn("comp", F.coalesce("component", "sig")).withColumn("weight", F.coalesce("w", F.lit(1))).drop("component", "w")
@@ -285,13 +284,11 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     small_batches(docs.sparkSession)
     own = checkpointed(classes(docs, size))
     sets, entries = prepared(docs, size, percent)
-    known = None
+    comp = None
     for r in range(PIVOT_ROUNDS + 1):
-        e = checkpointed(labelled(entries, known))
+        e = checkpointed(labelled(entries, comp))
         pairs = pivot_pairs(e, r) if r < PIVOT_ROUNDS else counted_pairs(e, percent, False)
-        more = checkpointed(verified(pairs, sets, percent))
-        known = more if known is None else known.union(more)
-    comp = components(known)
+        comp = merged(comp, checkpointed(verified(pairs, sets, percent)))
     smallest = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     root = smallest.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("component", "sig"))
     ids = root.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from lucerna.llm import jaccard_join as J
+from lucerna.llm.common import components, merged
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,6 +73,22 @@ def test_components(spark, rows, monkeypatch):
     assert J.joined(docs.limit(0)).count() == 0
 
 
+def test_components_of_links(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(None, 1), (7, 7)]
+    want = {}
+    for _ in range(60):
+        for a, b in edges:
+            if a is not None and a != b:
+                low = min(want.get(a, a), want.get(b, b))
+                want[a] = want[b] = low
+    df = spark.createDataFrame(edges, 'a long, b long')
+    assert {tuple(r) for r in components(df).collect()} == set(want.items())
+    first = merged(None, df.where('a % 2 = 0'))
+    assert {tuple(r) for r in merged(first, df.where('a % 2 = 1')).collect()} == set(want.items())
+    assert components(df.limit(0)).count() == 0
+
+
 def test_stage_keeps_one_of_each_component(spark, rows):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     want = {c for d, _, c in brute(rows)[0]}
