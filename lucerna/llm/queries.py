@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, packing, pii, quality, token_counts
+from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, token_counts
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_jaccard_join": jaccard_join.op8,
+    "op9_lm_scoring": lm_scoring.op9,
     "op10_spaced_seeds": decontaminate.op10,
 }
 ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL}
