@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, token_counts
+from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_chat_formatting": chat.op3,
     "op5_token_counts": token_counts.op5,
     "op6_quality_rules": quality.op6,
