@@ -46,7 +46,7 @@ def test_gradients():
 
 
 def test_held_out_accuracy_and_all_windows():
-    p = T.fitted(*corpus(800, 2))
+    p = T.fitted(*corpus(2400, 2))
     texts, labels = corpus(300, 3)
     assert ((T.scores_of(p, texts) >= 0.5) == labels).mean() > 0.95
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
