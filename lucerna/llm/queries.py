@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1,
     "op2_toxicity": toxicity.op2,
     "op3_chat_formatting": chat.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_token_counts": token_counts.op5,
     "op6_quality_rules": quality.op6,
     "op7_best_fit_packing": packing.op7,
