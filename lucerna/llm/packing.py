@@ -145,3 +145,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 256, max_cost:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces_of(table(spark, sf_dir, "documents")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(pieces_of(docs))
