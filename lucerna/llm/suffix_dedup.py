@@ -319,8 +319,8 @@ def texts_by_group(docs: DataFrame, groups: int) -> DataFrame:
 
 
 def segments(texts: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
-    """Kind t: (key, data) of texts with repeated anchors. Kind s: (name, shard, data, times) of distinct segments, with
-    places (key, first window) at which they stand, all by group of texts."""
+    """Kind t: (key, data) of texts with repeated anchors. Kind s: (name, shard, anchor, data, times) of distinct segments,
+    with places (key, first window) at which they stand, all by group of texts."""
 
     def cut(own: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
@@ -334,7 +334,7 @@ def segments(texts: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
             for k, x, f, m, p, many in zip(key, h, first, n, place, hot, strict=True):
                 text = data[k]
                 if not many:
-                    entry = found.setdefault(text[f : f + m - 1 + LENGTH], (x % shards, [], []))
+                    entry = found.setdefault(text[f : f + m - 1 + LENGTH], (x - (1 << 63), [], []))
                     entry[1].append(k)
                     entry[2].append(f)
                     continue
@@ -342,14 +342,14 @@ def segments(texts: DataFrame, repeated: DataFrame, shards: int) -> DataFrame:
                 for block in range((p - f - m + 1) // PIECE, (p - f) // PIECE + 1):
                     low, high = max(f, p - block * PIECE - PIECE + 1), min(f + m, p - block * PIECE + 1)
                     inner = text[p - block * PIECE : p - block * PIECE - PIECE + 1 + LENGTH]
-                    entry = found.setdefault(text[low : high - 1 + LENGTH], (key_of(inner) % shards, [], []))
+                    entry = found.setdefault(text[low : high - 1 + LENGTH], (key_of(inner), [], []))
                     entry[1].append(k)
                     entry[2].append(low)
-            rows += [(grp, "t", k, -1, data[k], 0, None, None) for k in dict.fromkeys(key)]
-            rows += [(grp, "s", key_of(x), s, x, len(k), np.array(k, np.int64).tobytes(), pack_ints(np.array(f))) for x, (s, k, f) in found.items()]
-        return pd.DataFrame(rows, columns=["grp", "kind", "key", "shard", "data", "times", "keys", "firsts"])
+            rows += [(grp, "t", k, -1, 0, data[k], 0, None, None) for k in dict.fromkeys(key)]
+            rows += [(grp, "s", key_of(x), a % shards, a, x, len(k), np.array(k, np.int64).tobytes(), pack_ints(np.array(f))) for x, (a, k, f) in found.items()]
+        return pd.DataFrame(rows, columns=["grp", "kind", "key", "shard", "anchor", "data", "times", "keys", "firsts"])
 
-    schema = "grp int, kind string, key long, shard int, data binary, times long, keys binary, firsts binary"
+    schema = "grp int, kind string, key long, shard int, anchor long, data binary, times long, keys binary, firsts binary"
     return texts.groupBy("grp").cogroup(repeated.groupBy("grp")).applyInPandas(cut, schema)
 
 
@@ -358,10 +358,17 @@ def searched(distinct: DataFrame) -> DataFrame:
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
+        # Equal windows have equal anchors: a segment that stands once is compared with the others of its anchor, and
+        # segments that all stand twice or more are repeated throughout.
+        of_anchor = pdf.groupby("anchor")["times"].agg(["size", "min"]).loc[pdf["anchor"]]
+        sort = ((of_anchor["size"] > 1) & (of_anchor["min"] < 2)).to_numpy()
         data = pdf["data"].tolist()
-        for name, times, hit in zip(pdf["key"], pdf["times"], repeated_windows(data), strict=True):
-            if times > 1:
-                hit = np.ones(len(hit), bool)
+        hits = [np.full(len(x) - LENGTH + 1, t > 1) for x, t in zip(data, pdf["times"], strict=True)]
+        if sort.any():
+            at = np.flatnonzero(sort)
+            for i, hit in zip(at, repeated_windows([data[i] for i in at]), strict=True):
+                hits[i] = hits[i] | hit
+        for name, hit in zip(pdf["key"], hits, strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
             if len(edge):
                 ranges = edge.reshape(-1, 2)
@@ -414,7 +421,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     parts = 2 * shuffle_parts(docs.sparkSession)
     cut = checkpointed(segments(texts_by_group(docs, parts), repeated_anchors(sent_anchors(docs, parts), parts), parts))
     # a name stands for one content: its shard is the content's
-    own = cut.where("kind = 's'").groupBy("key").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"), F.min("data").alias("data"))
+    own = cut.where("kind = 's'").groupBy("key").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"), F.min("anchor").alias("anchor"), F.min("data").alias("data"))
     return cleaned(cut, searched(own))
 
 
