@@ -64,6 +64,18 @@ def found(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def possible(text: Column) -> Column:
+    """False only for texts without entities, and quick to tell: every pattern has a digit, a sign or a fixed word."""
+    out = F.regexp_like(text, F.lit("[0-9@=:]")) | text.contains("AKIA")
+    for title in [*MALE_TITLES, *FEMALE_TITLES]:
+        out = out | text.contains(title)
+    return F.coalesce(out, F.lit(False))
+
+
+def has_entities(text: Column) -> Column:
+    return F.when(possible(text), F.regexp_like(text, F.lit(PATTERN))).otherwise(F.lit(False))
+
+
 def kind_of(surface: Column) -> Column:
     out = F.lit("person")
     for kind, pattern in reversed(list(KINDS.items())):
@@ -161,7 +173,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY, counted: bool = True) -> Da
     """The documents with text replaced; with n_entities, and of each kind, if counted."""
     own = docs.columns
     entities, id_ = F.expr("__found"), F.expr("__key")
-    marked = docs.withColumn("__found", found(F.col("text"))).where(F.size("__found") > 0).withColumn("__key", F.md5("text"))
+    marked = docs.where(has_entities(F.col("text"))).withColumn("__found", found(F.col("text"))).withColumn("__key", F.md5("text"))
     texts = marked.select(id_, entities).dropDuplicates(["__key"])
     at = texts.select("__key", F.posexplode("__found").alias("at", "surface"))
     surfaces = checkpointed(described(at.select("surface").distinct()))
@@ -170,7 +182,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY, counted: bool = True) -> Da
     done = marked.drop("__found").join(new, "__key")
     between = F.split("text", PATTERN, -1)
     text = F.array_join(F.flatten(F.zip_with(between, F.col("__put"), lambda a, b: F.array(a, F.coalesce(b["put"], F.lit(""))))), "")
-    clean = docs.where(F.col("text").isNull() | ~F.regexp_like("text", F.lit(PATTERN)))
+    clean = docs.where(~has_entities(F.col("text")))
     of_kind = lambda k: F.size(F.filter("__put", lambda x: x["kind"] == k))
     counts = [F.coalesce(of_kind(k), F.lit(0)).alias(f"n_{k}") for k in KINDS]
     zero = [F.lit(0).alias(f"n_{k}") for k in KINDS]
