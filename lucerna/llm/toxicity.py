@@ -127,6 +127,11 @@ def forward(p: dict, e: np.ndarray, idx: np.ndarray, keep: bool = False):
     return (logit, (mask, tape_f, tape_b, h, t, w, pooled)) if keep else logit
 
 
+def window_logits(p: dict, e: np.ndarray, idx: np.ndarray, together: int = 2048) -> np.ndarray:
+    """Logits of many windows, some at a time: states of all at once would fill the driver's memory."""
+    return np.concatenate([forward(p, e, idx[i : i + together]) for i in range(0, len(idx), together)])
+
+
 def gradients(p: dict, x: Inputs, e: np.ndarray, idx: np.ndarray, d_logit: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
     mask, tape_f, tape_b, h, t, w, pooled = kept
     g = {"o": pooled.T @ d_logit, "z": d_logit.sum(keepdims=True)}
@@ -175,7 +180,7 @@ def trained(texts: list[str], labels: np.ndarray, seed: int = 7) -> dict[str, np
     positive = labels[owner] == 1
     counts = np.bincount(owner)
     for k in range(PASSES):
-        logit = forward(p, embedded(p, x), idx)
+        logit = window_logits(p, embedded(p, x), idx)
         # first the positive documents that have few windows, where the label says most; then the window that stands out
         order = np.lexsort((-logit if k else r.random(len(idx)), owner))
         rank = np.empty(len(idx), np.int64)
@@ -243,13 +248,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str
     return [r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64)
 
 
-def logits_of(p: dict, texts: list[str | None], together: int = 2048) -> np.ndarray:
+def logits_of(p: dict, texts: list[str | None]) -> np.ndarray:
     x = Inputs(texts)
     idx, owner = x.windows()
     e = embedded(p, x)
     best = np.full(len(texts), -np.inf)
-    for i in range(0, len(idx), together):
-        np.maximum.at(best, owner[i : i + together], forward(p, e, idx[i : i + together]))
+    np.maximum.at(best, owner, window_logits(p, e, idx))
     return best.astype(np.float64)
 
 
