@@ -23,6 +23,7 @@ component ignores nulls, and is null only if all its doc_ids are. Empty tables g
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,23 +66,31 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def classes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, sig) of each row; sig is null for an empty set."""
+def pack_owners(rows: list[tuple[int | None, int, int]]) -> bytes:
+    """(doc_id, size of the set, class) of rows; without a set the size is 0."""
+    ids, n, sig = zip(*rows, strict=True)
+    known = [x is not None for x in ids]
+    return pack_ints(np.array([[x or 0 for x in ids], known, n, sig], np.int64).ravel(), "<i8")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t, hashes, size) for t in b.column("text").to_pylist()]
-            sig = pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), sig], ["doc_id", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, n long, sig long")
+def unpack_owners(blob: bytes) -> pd.DataFrame:
+    ids, known, n, sig = unpack_ints(blob, "<i8").reshape(4, -1)
+    return pd.DataFrame({"doc_id": pd.Series(ids).astype("Int64").where(known > 0), "n": n, "sig": pd.Series(sig).astype("Int64").where(n > 0)})
 
 
 def postings(docs: DataFrame, size: int, parts: int) -> DataFrame:
-    """Packed (part, shingles, owner, sigs, ns): each shingle with the number of its class in the lists sigs and ns."""
-
-    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Packed (part, shingles, owner, sigs, ns): each shingle with the number of its class in the lists sigs and ns.
+    Rows with `docs` hold the class of each document instead, so that texts are read and hashed once."""
+    fields = {"shingles": pa.binary(), "owner": pa.binary(), "sigs": pa.binary(), "ns": pa.binary(), "docs": pa.binary()}
+
+    def packed(part: int, **values: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([values.get(k)], t) for k, t in fields.items())], ["part", *fields])
+
+    def flush(sets: dict[int, np.ndarray], rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        blob = pack_owners(rows)
+        yield packed(zlib.crc32(blob) % parts, docs=blob)
+        if not sets:
+            return
         sigs, ns = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.int64)
         all_, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(ns), dtype=np.uint32), ns)
         order = np.argsort(all_, kind="stable")
@@ -90,30 +99,40 @@ def postings(docs: DataFrame, size: int, parts: int) -> DataFrame:
         for part, (h, o) in enumerate(zip(np.split(all_, bounds), np.split(owner, bounds), strict=True)):
             if len(h):
                 used, local = np.unique(o, return_inverse=True)
-                row = [[part], [pack_sorted(h)], [pack_ints(local)], [sigs[used].tobytes()], [pack_ints(ns[used])]]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), *(pa.array(x, pa.binary()) for x in row[1:])], ["part", "shingles", "owner", "sigs", "ns"])
+                yield packed(part, shingles=pack_sorted(h), owner=pack_ints(local), sigs=sigs[used].tobytes(), ns=pack_ints(ns[used]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets, held = WordHashes(), {}, 0
+        hashes, sets, rows, held = WordHashes(), {}, [], 0
         for b in batches:
-            for text in b.column("text").to_pylist():
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingle_set(text, hashes, size)
-                if len(s) and (sig := class_of(s)) not in sets:
+                sig = class_of(s) if len(s) else 0
+                rows.append((doc_id, len(s), sig))
+                held += 1
+                if len(s) and sig not in sets:
                     sets[sig] = s
                     held += len(s)
                 if held >= SORTED_TOGETHER:
-                    yield from flush(sets)
-                    sets, held = {}, 0
-        if sets:
-            yield from flush(sets)
+                    yield from flush(sets, rows)
+                    sets, rows, held = {}, [], 0
+        if rows:
+            yield from flush(sets, rows)
 
-    return docs.select("text").mapInArrow(send, "part int, shingles binary, owner binary, sigs binary, ns binary")
+    out = "part int, shingles binary, owner binary, sigs binary, ns binary, docs binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, out)
 
 
 def shared(packed: DataFrame, groups: int) -> DataFrame:
-    """Packed (grp, sig, n, shingle, df) arrays of the shingles that two classes or more share, by group of classes."""
+    """Packed (grp, sig, n, shingle, df) arrays of the shingles that two classes or more share, by group of classes;
+    rows with `docs` pass through."""
+    columns = ["grp", "sig", "n", "shingle", "df", "docs"]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        through = [(zlib.crc32(x) % groups, None, None, None, None, x) for x in pdf["docs"].dropna()]
+        pdf = pdf[pdf["docs"].isna()]
+        return pd.DataFrame(through + (kept(pdf) if len(pdf) else []), columns=columns)
+
+    def kept(pdf: pd.DataFrame) -> list[tuple]:
         h = np.concatenate([unpack_sorted(x) for x in pdf["shingles"]])
         sigs = [np.frombuffer(x, np.int64) for x in pdf["sigs"]]
         own = [unpack_ints(x) for x in pdf["owner"]]
@@ -133,10 +152,9 @@ def shared(packed: DataFrame, groups: int) -> DataFrame:
         order = np.lexsort((h, sig, grp))
         h, sig, n, df, grp = (x[order] for x in (h, sig, n, df, grp))
         cuts = np.flatnonzero(np.diff(grp)) + 1 if len(grp) else np.array([], int)
-        rows = [(int(g[0]), pack_ints(s, "<u8"), pack_ints(m), pack_ints(x, "<u8"), pack_ints(d)) for g, s, m, x, d in zip(*(np.split(x, cuts) for x in (grp, sig, n, h, df)), strict=True) if len(g)]
-        return pd.DataFrame(rows, columns=["grp", "sig", "n", "shingle", "df"])
+        return [(int(g[0]), pack_ints(s, "<u8"), pack_ints(m), pack_ints(x, "<u8"), pack_ints(d), None) for g, s, m, x, d in zip(*(np.split(x, cuts) for x in (grp, sig, n, h, df)), strict=True) if len(g)]
 
-    return packed.groupBy("part").applyInPandas(meet, "grp int, sig binary, n binary, shingle binary, df binary")
+    return packed.groupBy("part").applyInPandas(meet, "grp int, sig binary, n binary, shingle binary, df binary, docs binary")
 
 
 def prefix(h: np.ndarray, df: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, int]:
@@ -156,9 +174,19 @@ def prefix(h: np.ndarray, df: np.ndarray, n: int, percent: int) -> tuple[np.ndar
 
 
 def candidates(shared_: DataFrame, percent: int) -> DataFrame:
-    """(sig, n, least, prefix, shingles) of the classes that can have a partner."""
+    """(sig, n, least, prefix, shingles) of the classes that can have a partner, and (doc_id, n, sig) of all documents,
+    whose `least` is null and whose sig is null for an empty set."""
+    columns = ["sig", "n", "least", "prefix", "shingles"]
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = [unpack_owners(x) for x in pdf["docs"].dropna()]
+        pdf = pdf[pdf["docs"].isna()]
+        sets = pd.DataFrame(fitting(pdf) if len(pdf) else [], columns=columns)
+        out = pd.concat([sets.astype({"sig": "Int64", "n": "Int64", "least": "Int32"}), *docs]).reindex(columns=[*columns, "doc_id"])
+        lists = out[["prefix", "shingles"]].astype(object)
+        return out.assign(**lists.where(lists.notna(), None))
+
+    def fitting(pdf: pd.DataFrame) -> list[tuple]:
         sig = np.concatenate([unpack_ints(x, "<u8") for x in pdf["sig"]]).view(np.int64)
         n, df = (np.concatenate([unpack_ints(x) for x in pdf[c]]).astype(np.int64) for c in ("n", "df"))
         h = np.concatenate([unpack_ints(x, "<u8") for x in pdf["shingle"]])
@@ -170,9 +198,9 @@ def candidates(shared_: DataFrame, percent: int) -> DataFrame:
             if 100 * len(x) >= percent * m[0]:
                 first, least = prefix(x, d, int(m[0]), percent)
                 rows.append((int(s[0]), int(m[0]), least, signed(first).tolist(), x.astype("<u8").tobytes()))
-        return pd.DataFrame(rows, columns=["sig", "n", "least", "prefix", "shingles"])
+        return rows
 
-    return shared_.groupBy("grp").applyInPandas(choose, "sig long, n long, least int, prefix array<long>, shingles binary")
+    return shared_.groupBy("grp").applyInPandas(choose, "sig long, n long, least int, prefix array<long>, shingles binary, doc_id long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -265,25 +293,25 @@ def oriented(s: int, w: int, c: int, y: list[np.ndarray], ok: np.ndarray, asked:
     return rows + [(int(p), np.int64(s).tobytes(), q.tobytes()) for p, q in zip(b[~forth], asked[~forth], strict=True)]
 
 
-def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sets, entries): the classes that can have partners, and their prefix shingles."""
+def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(own, sets, entries): the class of each document, the classes that can have partners, and their prefix shingles."""
     parts = SPREAD * shuffle_parts(docs.sparkSession)
-    sets = checkpointed(candidates(shared(postings(docs, size, parts), parts), percent))
-    return sets.select("sig", "n", "shingles"), sets.select("sig", "n", "least", F.explode("prefix").alias("token"))
+    both = checkpointed(candidates(shared(postings(docs, size, parts), parts), percent))
+    own, sets = both.where("least is null").select("doc_id", "n", "sig"), both.where("least is not null")
+    return own, sets.select("sig", "n", "shingles"), sets.select("sig", "n", "least", F.explode("prefix").alias("token"))
 
 
 def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """All links (a, b) between classes, and so one row for each two different sets that are similar."""
     small_batches(docs.sparkSession)
-    sets, entries = prepared(docs, size, percent)
+    _, sets, entries = prepared(docs, size, percent)
     return verified(counted_pairs(labelled(entries, None), percent, True), sets, percent)
 
 
 def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     small_batches(docs.sparkSession)
-    own = checkpointed(classes(docs, size))
-    sets, entries = prepared(docs, size, percent)
+    own, sets, entries = prepared(docs, size, percent)
     comp = None
     for r in range(PIVOT_ROUNDS + 1):
         e = checkpointed(labelled(entries, comp))
