@@ -43,6 +43,14 @@ def brute(rows):
     return sorted(((d, len(s), low.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))), key=repr), len(n_links)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_job_a_step(spark):
+    """Small tables: adaptive execution would run a job for each shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = random.Random(5)
