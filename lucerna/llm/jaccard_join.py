@@ -9,7 +9,9 @@ set's hash; work is done once for each class.
 2. Prefixes. A class whose shared shingles are under the threshold has no partner. The others order shingles from rare
    to frequent. A partner shares at least ceil(t n) shingles, so among the first n - ceil(t n) + l it shares l at least.
    Each class takes the l whose estimated cost is least: reading the postings of the prefix, plus verifying the
-   candidates, of which there are at most (sum of frequencies - 1) / l. A pair must share min(l, l') prefix shingles.
+   candidates, of which there are at most (sum of frequencies - 1) / l. Similar sets overlap in o = ceil(t (n + n') /
+   (1 + t)) shingles, and all that the shorter-reaching prefix leaves out is ceil(t n) - l shingles of its set, so a
+   pair must share o - max(ceil(t n) - l, ceil(t n') - l') prefix shingles, which is min(l, l') or more.
 3. Candidates. In a shingle's bucket, first only pairs with one pivot are verified, which joins most of a large group
    of copies into one component. Then all pairs of different components in a bucket are counted; buckets are cut into
    blocks, so that no task holds a large bucket, and a pair whose count is reached is verified by its full overlap.
@@ -42,7 +44,6 @@ SORTED_TOGETHER = 3_000_000
 SPREAD = 2
 BLOCK = 512
 PIVOT_ROUNDS = 2
-LONGEST_PREFIX = 8
 VERIFY_COST = 20.0
 
 
@@ -162,15 +163,17 @@ def prefix(h: np.ndarray, df: np.ndarray, n: int, percent: int) -> tuple[np.ndar
     order = np.lexsort((h, df))
     h, df = h[order], df[order]
     alone = n - len(h)  # shingles of this class only stand first
-    base = n - -(-percent * n // 100)
-    best, length, least = None, 0, 1
-    for matches in range(1, min(LONGEST_PREFIX, n - base) + 1):
-        reach = max(0, base + matches - alone)
-        read = float((df[:reach] - 1).sum())
-        cost = read + VERIFY_COST * read / matches
-        if best is None or cost < best:
-            best, length, least = cost, reach, matches
-    return h[:length], least
+    need = required(n, percent)
+    matches = np.arange(1, need + 1)
+    reach = n - need + matches - alone
+    read = np.cumsum(df - 1)[reach - 1].astype(float)
+    least = int(np.argmin(read + VERIFY_COST * read / matches)) + 1
+    return h[: reach[least - 1]], least
+
+
+def required(n, percent: int):
+    """Shingles of a set that a partner must have."""
+    return -(-percent * n // 100)
 
 
 def candidates(shared_: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +207,7 @@ def candidates(shared_: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of distinct pairs whose Jaccard similarity reaches the threshold."""
+    """The (a, b) of distinct pairs, of fitting sizes, whose Jaccard similarity reaches the threshold."""
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,9 +221,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("xa"))
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("xb"))
-    sized = pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-    sized = sized.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    return sized.join(left, "a").join(right, "b").select("a", "b", "xa", "xb", "na", "nb").mapInArrow(overlap, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb", "na", "nb").mapInArrow(overlap, "a long, b long")
 
 
 def labelled(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -235,11 +236,12 @@ def labelled(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     return e.join(mixed_, "token")
 
 
-def pivot_pairs(entries: DataFrame, round_: int) -> DataFrame:
-    """In each bucket, the pairs of one member with those of other components."""
-    order = F.struct(F.xxhash64("sig", F.lit(round_)), "sig", "comp")
-    pivot = entries.groupBy("token").agg(F.min(order).alias("p")).select("token", F.col("p.sig").alias("a"), F.col("p.comp").alias("pc"))
-    return entries.join(pivot, "token").where("comp <> pc").select("a", F.col("sig").alias("b")).distinct()
+def pivot_pairs(entries: DataFrame, round_: int, percent: int) -> DataFrame:
+    """In each bucket, the pairs of one member with those of other components, where the sizes fit."""
+    order = F.struct(F.xxhash64("sig", F.lit(round_)), "sig", "comp", "n")
+    pivot = entries.groupBy("token").agg(F.min(order).alias("p")).select("token", F.col("p.sig").alias("a"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"))
+    fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    return entries.join(pivot, "token").where(fits & F.expr("comp <> pc")).select("a", F.col("sig").alias("b")).distinct()
 
 
 def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
@@ -261,22 +263,21 @@ def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
             for rows, others in zip(batch.column("members").to_pylist(), batch.column("others").to_pylist(), strict=True):
                 x = read(rows)
                 y = x if others is None else read(others)
-                for k in range(len(x[0])):
-                    w, c, s, n, least = (v[k] for v in x)
-                    if within:
-                        ok = (y[2] > s) if others is None else (y[2] != s)
-                    else:  # from the smaller component to the larger one
-                        ok = y[1] != c
-                        if others is None:
-                            ok &= (y[0] > w) | ((y[0] == w) & (y[1] > c))
-                    ok &= 100 * np.minimum(n, y[3]) >= percent * np.maximum(n, y[3])
-                    if ok.any():
-                        out += oriented(s, w, c, y, ok, np.minimum(least, y[4]), within)
+                for ones, many in ((x, y),) if others is None else ((x, y), (y, x)):
+                    weights, comps, sigs, sizes, leasts = many
+                    rest = required(sizes, percent) - leasts
+                    for w, c, s, n, least in zip(*ones, strict=True):  # from the smaller component to the larger one
+                        ok = sigs > s if within else (weights > w) | ((weights == w) & (comps > c))
+                        ok &= 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+                        if ok.any():
+                            overlap = -(-percent * (n + sizes[ok]) // (100 + percent))
+                            asked = overlap - np.maximum(rest[ok], required(n, percent) - least)
+                            out.append((int(s), sigs[ok].tobytes(), asked.astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2))], ["a", "others", "asked"])
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         b = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["others"]])
-        asked = np.concatenate([np.frombuffer(x, np.int8) for x in pdf["asked"]])
+        asked = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["asked"]])
         b, at, n = np.unique(b, return_index=True, return_counts=True)
         b = b[n >= asked[at]]
         return pd.DataFrame({"a": np.full(len(b), pdf["a"].iloc[0]), "b": b})
@@ -285,14 +286,6 @@ def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
     return packed.groupBy("a").applyInPandas(count, "a long, b long")
 
 
-def oriented(s: int, w: int, c: int, y: list[np.ndarray], ok: np.ndarray, asked: np.ndarray, within: bool) -> list[tuple]:
-    """(a, packed partners, packed matches asked) with a in the smaller component, or the smaller of the two."""
-    b, asked = y[2][ok], asked[ok].astype(np.int8)
-    forth = b > s if within else (y[0][ok] > w) | ((y[0][ok] == w) & (y[1][ok] > c))
-    rows = [(int(s), b[forth].tobytes(), asked[forth].tobytes())] if forth.any() else []
-    return rows + [(int(p), np.int64(s).tobytes(), q.tobytes()) for p, q in zip(b[~forth], asked[~forth], strict=True)]
-
-
 def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(own, sets, entries): the class of each document, the classes that can have partners, and their prefix shingles."""
     parts = SPREAD * shuffle_parts(docs.sparkSession)
@@ -315,7 +308,7 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     comp = None
     for r in range(PIVOT_ROUNDS + 1):
         e = checkpointed(labelled(entries, comp))
-        pairs = pivot_pairs(e, r) if r < PIVOT_ROUNDS else counted_pairs(e, percent, False)
+        pairs = pivot_pairs(e, r, percent) if r < PIVOT_ROUNDS else counted_pairs(e, percent, False)
         comp = merged(comp, checkpointed(verified(pairs, sets, percent)))
     smallest = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     root = smallest.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("component", "sig"))
