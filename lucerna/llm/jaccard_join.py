@@ -43,6 +43,8 @@ SORTED_TOGETHER = 3_000_000
 #: Partitions of the hash space for each shuffle partition.
 SPREAD = 2
 BLOCK = 512
+#: Matches of pairs that a task adds up at a time.
+MATCHES_HELD = 2_000_000
 PIVOT_ROUNDS = 2
 VERIFY_COST = 20.0
 
@@ -246,43 +248,63 @@ def pivot_pairs(entries: DataFrame, round_: int, percent: int) -> DataFrame:
 
 def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
     """Pairs that share enough prefix shingles; of different components, or all if within. Large buckets are cut into
-    blocks, and each two blocks meet in a row of their own."""
+    blocks by the hash of the class, and each two blocks meet in a row of their own. Buckets whose first class by hash
+    is the same have much the same members: they meet in one task, which adds up their matches before they move."""
     e = entries.withColumn("one", F.struct("weight", "comp", "sig", "n", "least"))
-    sizes = entries.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)))
+    sizes = entries.groupBy("token").agg(F.pow(F.lit(2), halvings).cast("int").alias("blocks"), F.min(F.xxhash64("sig")).alias("mate"))
     e = e.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    blocks = e.groupBy("token", "block", "blocks").agg(F.array_sort(F.collect_list("one")).alias("members"))
+    blocks = e.groupBy("token", "block", "blocks", "mate").agg(F.collect_list("one").alias("members"))
     first = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
     met = first.join(blocks.select("token", F.col("block").alias("other"), F.col("members").alias("others")), ["token", "other"])
-    met = met.select("token", "members", F.when(F.col("block") == F.col("other"), F.lit(None)).otherwise(F.col("others")).alias("others"))
+    met = met.repartition("mate", "block", "other").select("members", F.when(F.col("block") == F.col("other"), F.lit(None)).otherwise(F.col("others")).alias("others"))
+
+    def summed(held: list[tuple]) -> pa.RecordBatch:
+        """(a, packed partners, matches seen and asked) of the matches held."""
+        a = np.repeat(np.array([r[0] for r in held], np.int64), [len(r[1]) for r in held])
+        b, asked = (np.concatenate([r[k] for r in held]) for k in (1, 2))
+        order = np.lexsort((b, a))
+        a, b, asked = a[order], b[order], asked[order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        seen = np.diff(np.append(at, len(a))).astype(np.int32)
+        a, b, asked = a[at], b[at], asked[at]
+        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        packed = [pa.array([x.tobytes() for x in np.split(v, start[1:])], pa.binary()) for v in (b, seen, asked)]
+        return pa.RecordBatch.from_arrays([pa.array(a[start]), *packed], ["a", "others", "seen", "asked"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ("weight", "comp", "sig", "n", "least")
         read = lambda rows: [np.array([r[f] for r in rows], np.int64) for f in fields]
+        held, size = [], 0
         for batch in batches:
-            out: list[tuple] = []
-            for rows, others in zip(batch.column("members").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                x = read(rows)
-                y = x if others is None else read(others)
-                for ones, many in ((x, y),) if others is None else ((x, y), (y, x)):
-                    weights, comps, sigs, sizes, leasts = many
-                    rest = required(sizes, percent) - leasts
+            for rows, others in zip(batch.column("members"), batch.column("others"), strict=True):
+                x = read(rows.as_py())
+                y = read(others.as_py()) if others.is_valid else x
+                for ones, many in ((x, y), (y, x)) if others.is_valid else ((x, y),):
+                    weights, comps, sigs, sizes_, leasts = many
+                    rest = required(sizes_, percent) - leasts
                     for w, c, s, n, least in zip(*ones, strict=True):  # from the smaller component to the larger one
                         ok = sigs > s if within else (weights > w) | ((weights == w) & (comps > c))
-                        ok &= 100 * np.minimum(n, sizes) >= percent * np.maximum(n, sizes)
+                        ok &= 100 * np.minimum(n, sizes_) >= percent * np.maximum(n, sizes_)
                         if ok.any():
-                            overlap = -(-percent * (n + sizes[ok]) // (100 + percent))
+                            overlap = -(-percent * (n + sizes_[ok]) // (100 + percent))
                             asked = overlap - np.maximum(rest[ok], required(n, percent) - least)
-                            out.append((int(s), sigs[ok].tobytes(), asked.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in (1, 2))], ["a", "others", "asked"])
+                            held.append((s, sigs[ok], asked.astype(np.int32)))
+                            size += len(asked)
+                if size >= MATCHES_HELD:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         b = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["others"]])
-        asked = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["asked"]])
-        b, at, n = np.unique(b, return_index=True, return_counts=True)
-        b = b[n >= asked[at]]
+        seen, asked = (np.concatenate([np.frombuffer(x, np.int32) for x in pdf[c]]) for c in ("seen", "asked"))
+        b, at, to = np.unique(b, return_index=True, return_inverse=True)
+        b = b[np.bincount(to, seen) >= asked[at]]
         return pd.DataFrame({"a": np.full(len(b), pdf["a"].iloc[0]), "b": b})
 
-    packed = met.mapInArrow(pair, "a long, others binary, asked binary")
+    packed = met.mapInArrow(pair, "a long, others binary, seen binary, asked binary")
     return packed.groupBy("a").applyInPandas(count, "a long, b long")
 
 
