@@ -9,8 +9,9 @@ seen once is as one not seen, at any corpus size) and the back-off weights of co
 Gathering. Tasks count the words of each distinct text and send them, packed, to partitions of the hash space. There
 each word's training count is known; what goes back to a text is its sum of log10(count + 1), so the base score needs
 no table of all words anywhere. Bigrams of training texts are summed the same way. The filter is made in pieces, one
-for each partition of keys, with BITS bits for an entry and at most MAX_BYTES in all: beyond that entries share fewer
-bits each, and none is left out. So what is broadcast has a bound.
+for each partition of keys, with BITS bits for an entry at any corpus size; their number grows with the corpus. Pieces
+stay where they are made: batches of texts send their distinct keys to the pieces and get the levels back, so no
+process holds the filter and nothing is broadcast.
 
 Null and empty texts are one end token. A null doc_id counts as the empty text for the fold. Repeated rows give repeated
 results and count as often as they occur; an empty table gives no rows. Equal texts are known by a 64-bit hash.
@@ -35,10 +36,12 @@ SALTS = {"u": np.uint64(0x5851F42D4C957F2D), "b": np.uint64(0x14057B7EF767814F),
 LOW = np.uint64(0xFFFFFFFF)
 HALF = np.uint64(32)
 BASE, LEVELS = 1.2, 160
-BITS, PROBES, MAX_BYTES = 12, 4, 96 << 20
+BITS, PROBES = 12, 4
 DISCOUNT = 0.75
 COUNTED_TOGETHER = 1_000_000
+TOKENS_A_PIECE = 8_000_000
 PACKED = "part int, kind string, batch long, keys binary, owner binary, counts binary, texts binary, trained binary"
+ASKED = "piece long, batch long, keys binary, texts binary, lengths binary, words binary, at binary"
 #: Level q stands for counts from STEPS[q - 1] up to STEPS[q], and for WORTH[q].
 STEPS = np.unique(np.ceil(BASE ** np.arange(LEVELS)))
 WORTH = np.concatenate([[0.0], np.append((STEPS[:-1] + STEPS[1:] - 1) / 2, STEPS[-1])])
@@ -203,21 +206,29 @@ def places(keys: np.ndarray, level, size) -> Iterator[np.ndarray]:
         yield (one + np.uint64(i) * two) % size
 
 
-def built(entries: DataFrame, pieces: int) -> Filter:
-    """entries: (key, level). Each piece is made where its keys meet."""
-    most = MAX_BYTES // pieces
+def piece_of(keys: np.ndarray, pieces: int) -> np.ndarray:
+    return (mixed(keys) % np.uint64(pieces)).astype(np.int64)
+
+
+def pieces_of(entries: DataFrame, pieces: int) -> DataFrame:
+    """entries: (key, level) -> (piece, bits). Each piece is made where its keys meet."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, level = pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["level"].to_numpy(np.int64)
-        size = min(most, max(8, int(level.sum()) * BITS // 8 + 1))
+        size = max(8, int(level.sum()) * BITS // 8 + 1)
         bits = np.zeros(size * 8, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
             for p in places(keys[level >= q], np.uint64(q), np.uint64(size * 8)):
                 bits[p] = True
         return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    split = entries.mapInPandas(lambda it: (p.assign(piece=(mixed(p["key"].to_numpy(np.int64).view(np.uint64)) % np.uint64(pieces)).astype(np.int32)) for p in it), "key long, level int, piece int")
-    made = {r["piece"]: bytes(r["bits"]) for r in split.groupBy("piece").applyInPandas(make, "piece int, bits binary").collect()}
+    split = entries.mapInPandas(lambda it: (p.assign(piece=piece_of(p["key"].to_numpy(np.int64).view(np.uint64), pieces)) for p in it), "key long, level int, piece long")
+    return split.groupBy("piece").applyInPandas(make, "piece long, bits binary")
+
+
+def built(entries: DataFrame, pieces: int) -> Filter:
+    """The whole filter in one place, if it is small."""
+    made = {r["piece"]: bytes(r["bits"]) for r in pieces_of(entries, pieces).collect()}
     return Filter([made.get(i, b"\0" * 8) for i in range(pieces)])
 
 
@@ -251,11 +262,33 @@ def entries_of(unigrams: DataFrame, bigrams: DataFrame, n: int, v: int, texts: i
     return all_.mapInPandas(level, "key long, level int")
 
 
-def text_scores(words: np.ndarray, starts: np.ndarray, filter_: Filter, n: int, v: int, texts: int) -> np.ndarray:
-    """log10 probability of each text; words of all texts, one after the other, from starts on."""
+def word_pairs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word and the one before it, 0 at the start of a text."""
     word = words & LOW
     before = np.concatenate([[np.uint64(0)], word[:-1]])
     before[starts] = 0
+    return before, word
+
+
+def probes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The distinct keys that text_scores asks for, sorted."""
+    before, word = word_pairs(words, starts)
+    return np.unique(np.concatenate([np.unique(word) ^ SALTS["u"], np.unique((before << HALF) | word) ^ SALTS["b"], np.unique(before) ^ SALTS["w"]]))
+
+
+class Answers:
+    """Levels of the keys that were asked for."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.keys, self.known = keys, levels
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.known[np.searchsorted(self.keys, keys)]
+
+
+def text_scores(words: np.ndarray, starts: np.ndarray, filter_: Filter | Answers, n: int, v: int, texts: int) -> np.ndarray:
+    """log10 probability of each text; words of all texts, one after the other, from starts on."""
+    before, word = word_pairs(words, starts)
     c = WORTH[filter_.levels(word ^ SALTS["u"])]
     cv = np.concatenate([[0.0], c[:-1]])
     cv[starts] = texts
@@ -266,6 +299,76 @@ def text_scores(words: np.ndarray, starts: np.ndarray, filter_: Filter, n: int,
     return np.add.reduceat(np.where(seen, np.minimum(joint, 0.0), np.minimum(back, 0.0)), starts)
 
 
+def starts_of(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+
+
+def asked(docs: DataFrame, pieces: int) -> DataFrame:
+    """docs: (text) -> for each batch of texts its distinct keys, a row for each piece, and the texts themselves, packed,
+    under a piece below 0 that no other batch has."""
+    names = ASKED.replace(",", "").split()[::2]
+    kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 5)
+
+    def flush(texts: dict[int, np.ndarray], batch: int) -> Iterator[pa.RecordBatch]:
+        lengths, words = np.array([len(w) for w in texts.values()]), np.concatenate(list(texts.values()))
+        distinct, at = np.unique(words, return_inverse=True)
+        keys = probes(words, starts_of(lengths))
+        to = piece_of(keys, pieces)
+        order = np.argsort(to, kind="stable")
+        keys, to = keys[order], to[order]
+        rows = [(-1 - batch, batch, None, np.array(list(texts), np.uint64).tobytes(), pack_ints(lengths), pack_sorted(distinct), pack_ints(at))]
+        first = runs(to)
+        rows += [(int(to[i]), batch, pack_sorted(x), *(None,) * 4) for i, x in zip(first, np.split(keys, first[1:]), strict=True)]
+        for r in rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds, strict=True)], names)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, texts, held, batch = WordHashes(), {}, 0, TaskContext.get().partitionId() << 24
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                key = text_key(text)
+                if key not in texts:
+                    texts[key] = tokens(text, hashes)
+                    held += len(texts[key])
+                if held >= COUNTED_TOGETHER:
+                    yield from flush(texts, batch)
+                    texts, held, batch = {}, 0, batch + 1
+        if texts:
+            yield from flush(texts, batch)
+
+    return docs.mapInArrow(send, ASKED)
+
+
+def answered(questions: DataFrame, filter_: DataFrame) -> DataFrame:
+    """The questions with the levels of the keys, a byte each, in place of the keys."""
+
+    def answer(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if len(q) and q["piece"].iloc[0] >= 0:
+            each = [unpack_sorted(x) for x in q["keys"]]
+            levels = Filter([f["bits"].iloc[0] if len(f) else b"\0" * 8]).levels(np.concatenate(each)).astype(np.uint8)
+            q = q.assign(keys=[x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in each])[:-1])])
+        return q
+
+    return questions.groupBy("piece").cogroup(filter_.groupBy("piece")).applyInPandas(answer, ASKED)
+
+
+def bigram_scores(docs: DataFrame, filter_: DataFrame, pieces: int, n: int, v: int, texts: int) -> DataFrame:
+    """(key, n_tokens, score) of each distinct text, without any process holding the filter."""
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["piece"] < 0
+        r, levels = pdf[own].iloc[0], dict(zip(pdf["piece"][~own], pdf["keys"][~own], strict=True))
+        lengths = unpack_ints(r["lengths"]).astype(np.int64)
+        words, starts = unpack_sorted(r["words"])[unpack_ints(r["at"])], starts_of(lengths)
+        keys = probes(words, starts)
+        known = np.zeros(len(keys), np.int64)
+        known[np.argsort(piece_of(keys, pieces), kind="stable")] = np.frombuffer(b"".join(levels[p] for p in sorted(levels)), np.uint8)
+        return pd.DataFrame({"key": np.frombuffer(r["texts"], np.int64), "n_tokens": lengths, "score": text_scores(words, starts, Answers(keys, known), n, v, texts)})
+
+    each = answered(asked(docs.select("text"), pieces), filter_).groupBy("batch").applyInPandas(score, "key long, n_tokens long, score double")
+    return each.groupBy("key").agg(F.min(F.struct("n_tokens", "score")).alias("m")).select("key", "m.*")
+
+
 def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
@@ -279,27 +382,21 @@ def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     end = unigrams.where(F.col("word") == int(END & LOW)).first()
     texts = end["c"] if end else 0
     small_batches(spark, 20_000)  # narrow rows
-    filter_ = spark.sparkContext.broadcast(built(entries_of(unigrams, opened(rows, "b"), n, v, texts), parts))
+    pieces = max(parts, -(-n // TOKENS_A_PIECE))
+    filter_ = checkpointed(pieces_of(entries_of(unigrams, opened(rows, "b"), n, v, texts), pieces))
     small_batches(spark)
     sums = opened(rows, "s", "double").groupBy("key", "batch").agg(F.sum("value").alias("value"), F.sum("known").alias("known"))
     sums = sums.groupBy("key").agg(F.min(F.struct("batch", "value", "known")).alias("s")).select("key", "s.value", "s.known")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts_ = b.column("text").to_pylist()
-            if not texts_:
-                continue
-            each = [tokens(t, hashes) for t in texts_]
-            starts = np.concatenate([[0], np.cumsum([len(w) for w in each])[:-1]])
-            result = text_scores(np.concatenate(each), starts, filter_.value, n, v, texts)
-            keys = np.array([text_key(t) for t in texts_], np.uint64).view(np.int64)
-            columns = [b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array([len(w) for w in each], pa.int64()), pa.array(keys), pa.array(result)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "key", "score"])
-
-    own = docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, key long, score double")
+            keys = np.array([text_key(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(keys)], ["doc_id", "held_out", "key"])
+
+    own = docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(keyed, "doc_id long, held_out boolean, key long")
     base = F.col("value") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    return own.join(sums, "key").select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    by_text = bigram_scores(docs, filter_, pieces, n, v, texts).join(sums, "key")
+    return own.join(by_text, "key").select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

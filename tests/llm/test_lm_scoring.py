@@ -67,3 +67,20 @@ def test_model_sums_to_one_at_most(spark):
             score = lambda x: L.text_scores(x, np.array([0]), f, n, v, 6)[0]
             total += 10 ** (score(two) - score(one))
         assert 0.3 < total < 1.15
+
+
+def test_filter_grows_with_its_entries(spark, monkeypatch):
+    """A bound on the filter would change the levels read and so the scores; and keys sent to pieces read as the whole filter does."""
+    monkeypatch.setattr(L, "MAX_BYTES", 4000, raising=False)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120)
+    got = {r["doc_id"]: r["score"] for r in L.scored(docs).collect()}
+    rows = L.summed(L.gathered(docs.selectExpr("text", "crc32(cast(doc_id as string)) % 7 <> 2 as trains"), 8)).cache()
+    t = L.opened(rows, "n").agg({"key": "sum", "value": "sum"}).first()
+    n, v = t["sum(key)"], t["sum(value)"]
+    uni = L.opened(rows, "u").selectExpr("key as word", "value as c")
+    texts = uni.where(uni["word"] == int(L.END & L.LOW)).first()["c"]
+    entries = L.entries_of(uni, L.opened(rows, "b"), n, v, texts).cache()
+    f, hashes = L.built(entries, 8), L.WordHashes()
+    assert 8 * len(f.bits) >= L.BITS * entries.agg({"level": "sum"}).first()[0]
+    for r in docs.collect():
+        assert abs(got[r["doc_id"]] - L.text_scores(L.tokens(r["text"], hashes), np.array([0]), f, n, v, texts)[0]) < 1e-6
