@@ -3,8 +3,8 @@
 The model is a bigram model with absolute discounting that backs off to add-one unigrams. Its quantities are quantised
 on a logarithmic scale and kept in a Bloom filter: a key of level q is entered as (key, 1) ... (key, q), and is read by
 asking for (key, 1), (key, 2), ... until the answer is no. Levels are never read too low, and too high by one or more
-only as often as the filter errs. Entered are all unigram counts, the counts of bigrams seen twice or more (a bigram
-seen once is as one not seen, at any corpus size) and the back-off weights of contexts that have such bigrams.
+only as often as the filter errs. Entered are all unigram counts, the counts of all bigrams and the back-off weights of
+all contexts.
 
 Gathering. Tasks count the words of each distinct text and send them, packed, to partitions of the hash space. There
 each word's training count is known; what goes back to a text is its sum of log10(count + 1), so the base score needs
@@ -123,7 +123,7 @@ def gathered(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def summed(packed: DataFrame) -> DataFrame:
-    """(kind, batch, keys, values, known): u: words (32 bits) and counts; b: bigrams and counts from 2 up; s: texts with their
+    """(kind, batch, keys, values, known): u: words (32 bits) and counts; b: bigrams and counts; s: texts with their
     sums of log10(count + 1) and tokens known; n: tokens and distinct words of training texts, as keys and values."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,7 +151,7 @@ def summed(packed: DataFrame) -> DataFrame:
             k, n = k[order], n[order].astype(np.int64)
             at = runs(k)
             k, n = k[at], np.add.reduceat(n, at)
-            out.append(("b", 0, k[n > 1].tobytes(), n[n > 1].tobytes(), None))
+            out.append(("b", 0, k.tobytes(), n.tobytes(), None))
         return pd.DataFrame(out, columns=["kind", "batch", "keys", "values", "known"])
 
     return packed.groupBy("part").applyInPandas(meet, "kind string, batch long, keys binary, values binary, known binary")
@@ -293,7 +293,7 @@ def text_scores(words: np.ndarray, starts: np.ndarray, filter_: Filter | Answers
     cv = np.concatenate([[0.0], c[:-1]])
     cv[starts] = texts
     c2 = WORTH[filter_.levels(((before << HALF) | word) ^ SALTS["b"])]
-    seen = (c2 > 1) & (cv > 0)
+    seen = (c2 > 0) & (cv > 0)
     joint = np.log10(np.maximum(c2 - DISCOUNT, 0.25) / np.maximum(np.maximum(cv, c2), 1.0))
     back = weight_of(filter_.levels(before ^ SALTS["w"])) + np.log10((c + 1) / (n + v + 1))
     return np.add.reduceat(np.where(seen, np.minimum(joint, 0.0), np.minimum(back, 0.0)), starts)

@@ -84,3 +84,14 @@ def test_filter_grows_with_its_entries(spark, monkeypatch):
     assert 8 * len(f.bits) >= L.BITS * entries.agg({"level": "sum"}).first()[0]
     for r in docs.collect():
         assert abs(got[r["doc_id"]] - L.text_scores(L.tokens(r["text"], hashes), np.array([0]), f, n, v, texts)[0]) < 1e-6
+
+
+def test_bigrams_seen_once_count(spark):
+    docs = spark.createDataFrame([(0, "a b c"), (1, "d e f"), (3, "b a")], "doc_id long, text string").selectExpr("text", "true as trains")
+    rows = L.summed(L.gathered(docs, 2)).cache()
+    assert L.opened(rows, "b").count() == 11 and {r["value"] for r in L.opened(rows, "b").collect()} == {1}
+    uni = L.opened(rows, "u").selectExpr("key as word", "value as c")
+    f, hashes = L.built(L.entries_of(uni, L.opened(rows, "b"), 11, 7, 3), 2), L.WordHashes()
+    score = lambda t: L.text_scores(L.tokens(t, hashes), np.array([0]), f, 11, 7, 3)[0]
+    assert abs(score("d e f") - (math.log10(0.25 / 3) + 3 * math.log10(0.25))) < 1e-6
+    assert score("d e f") > score("f e d")
