@@ -108,3 +108,25 @@ def test_decontamination_against_brute_force(spark):
                                 want.add((r["doc_id"], item))
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == want and want
+
+
+def test_decontamination_against_diagonals(spark):
+    """Every periodic pattern of substitutions in long items and every pattern in short ones, by the share of agreeing
+    tokens on each diagonal; no masks here."""
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in (1, 2, 3, 5, 8, 9, 12, 14, 20, 37)}
+    patterns = {(n, tuple(b >> (i % p) & 1 for i in range(n))) for n in items if n > 8 for p in range(1, 8) for b in range(1 << p)}
+    patterns |= {(n, tuple(b >> i & 1 for i in range(n))) for n in items if n <= 8 for b in range(1 << n)}
+    patterns = sorted(x for x in patterns if sum(x[1]) >= 0.7 * x[0] or set(x[1][::2]) == {0})
+    docs = [["p", "q"] + [w if keep else f"z{k}" for w, keep in zip(items[n], keeps, strict=True)] + ["r"] for k, (n, keeps) in enumerate(patterns)]
+    want = set()
+    for k, d in enumerate(docs):
+        for item, t in items.items():
+            for at in range(len(d) - len(t) + 1):
+                if sum(a == b for a, b in zip(d[at:], t, strict=False)) >= 0.7 * len(t):
+                    want.add((k, item))
+    assert 0 < len(want) < len(docs)
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench, broadcast_seeds=most).collect()}
+        assert got == want
