@@ -1,11 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Each document has counts (words, symbols, repeated lines and words). A base rule rejects short and repetitive texts.
-Beyond it, four measures have a grid of cutoffs. On labelled documents that pass the base rule, each cutoff is tested
-in each stratum: with n good documents of which it rejects k, it is certified if the exact binomial tail
-P(Bin(n, risk / measures) <= k) is at most error / (strata x measures x cutoffs): a Bonferroni correction, under which
-all certified cutoffs together are right with probability 1 - error. The certified cutoff that rejects most bad
-documents is taken (ties: the most lenient); without one the measure rejects nothing in that stratum.
+Beyond it, four measures have a grid of cutoffs. Labelled documents that pass the base rule test them in each stratum,
+in a fixed sequence: the measure whose first cutoff rejects most bad documents goes from the most lenient cutoff to the
+strictest, then the next measure beside it, and so on. A step takes the most lenient cutoff that rejects as many bad
+documents as its own (none, if that rejects no bad one). With n good documents of which the measures so far reject k
+together, the step is certified if the exact binomial tail P(Bin(n, risk) <= k) is at most error / strata and all steps
+before it are certified; the last certified step is taken. So a measure that fails stops those behind it.
+The steps depend on the bad documents alone, and a fixed sequence needs no correction for its length: in all strata
+together the measures reject more than risk of the good documents with probability error at most. Without a certified
+step nothing is rejected in that stratum; with four strata, 436 good documents of which none is rejected certify one.
 
 Null and empty texts have no words and fail the base rule. A null stratum is a stratum of its own. Labels without a
 document, null labels and an empty label table certify nothing. Repeated rows give repeated results; repeated labels
@@ -86,19 +90,26 @@ def certified_cutoffs(measures: DataFrame, labels: DataFrame, stratum: str = "la
     """(stratum, c_<measure>...): the index of the chosen cutoff of each measure, null if none is certified."""
     held = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     m = measures.where("not base_failed").select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *(f"q_{k}" for k in GRID)).join(held, "doc_id")
+    m = checkpointed(m)
     bins = F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), F.col(f"q_{k}").alias("bin")) for k in GRID)))
-    counts = m.select("stratum", "quality", bins.alias("b")).groupBy("stratum", "b.measure", "b.bin").agg(F.sum("quality").alias("good"), F.sum(1 - F.col("quality")).alias("bad"))
-    by_bin = checkpointed(counts)
-    tests = by_bin.select("stratum").distinct().count() * len(GRID) * CUTOFFS
-    bound = error / max(1, tests)
-    all_bins = by_bin.groupBy("stratum", "measure").agg(F.sum("good").alias("n"), F.collect_list(F.struct("bin", "good", "bad")).alias("bins"))  # CUTOFFS + 1 at most
-    c = all_bins.select("stratum", "measure", "n", "bins", F.explode(F.sequence(F.lit(0), F.lit(CUTOFFS - 1))).alias("cutoff"))
-    total = lambda name: F.aggregate("bins", F.lit(0).cast("long"), lambda acc, b: acc + F.when(b["bin"] > F.col("cutoff"), b[name]).otherwise(0))
-    c = c.withColumns({"k": total("good"), "hit": total("bad")}).drop("bins")
-    p = risk / len(GRID)
-    c = c.where((F.col("k") < F.col("n") * p) & (F.col("hit") > 0)).withColumn("tail", binomial_tail(F.col("k"), F.col("n"), p))
-    best = c.where(F.col("tail") <= F.log(F.lit(bound))).groupBy("stratum", "measure").agg(F.max(F.struct("hit", "cutoff"))["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("measure") == k, F.col("cutoff"))).alias(f"c_{k}") for k in GRID))
+    counts = m.where("quality = 0").select("stratum", bins.alias("b")).groupBy("stratum", "b.measure", "b.bin").agg(F.count("*").alias("bad"))
+    c = counts.where("bin > 0").groupBy("stratum", "measure").agg(F.sum("bad").alias("hits"), F.collect_set("bin").alias("bins"))  # CUTOFFS at most
+    # the most lenient cutoff with a step's hits: the least bin beyond the step that holds a bad document, less one
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(CUTOFFS - 1)), lambda t: F.array_min(F.filter("bins", lambda b: b > t)) - 1)
+    place = F.array_position(F.array(*map(F.lit, GRID)), F.col("measure"))
+    c = c.withColumn("cuts", cuts).withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("hits"), place)) - 1)
+    c = c.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) * CUTOFFS - 1)))).withColumn("turn", F.floor(F.col("step") / CUTOFFS))
+    cutoff = F.when(F.col("rank") < F.col("turn"), F.get("cuts", F.lit(0))).when(F.col("rank") == F.col("turn"), F.get("cuts", CUTOFFS - 1 - F.col("step") % CUTOFFS))
+    steps = c.withColumn("cutoff", cutoff).groupBy("stratum", "step").agg(*(F.max(F.when(F.col("measure") == k, F.col("cutoff"))).alias(f"c_{k}") for k in GRID))
+    strata = m.select("stratum").distinct().count()
+    rejected = F.greatest(*(F.coalesce((F.col(f"q_{k}") > F.col(f"c_{k}")).cast("int"), F.lit(0)) for k in GRID))
+    good = m.where("quality = 1").groupBy("stratum", *(f"q_{k}" for k in GRID)).agg(F.count("*").alias("n"))
+    t = good.join(steps, "stratum").groupBy("stratum", "step", *(f"c_{k}" for k in GRID)).agg(F.sum("n").alias("n"), F.sum(F.col("n") * rejected).alias("k"))
+    tail = F.when(F.col("k") < F.col("n") * risk, binomial_tail(F.col("k"), F.col("n"), risk) <= F.log(F.lit(error / max(1, strata))))
+    before = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # 80 rows at most
+    t = t.withColumn("passed", F.min(F.coalesce(tail, F.lit(False))).over(before)).where("passed")
+    last = t.groupBy("stratum").agg(F.max(F.struct("step", *(f"c_{k}" for k in GRID))).alias("s")).select("stratum", *(f"s.c_{k}" for k in GRID))
+    return last.where(F.coalesce(*(f"c_{k}" for k in GRID)).isNotNull())
 
 
 def judged(measures: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

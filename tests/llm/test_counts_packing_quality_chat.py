@@ -127,6 +127,20 @@ def test_certified_cutoffs_hold_the_risk(spark):
     assert kept == {i for i in range(n) if i % 10}
 
 
+def test_labels_of_a_table_certify(spark):
+    """Of the labelled documents that pass the base rule, strata with 436 good ones lose their junk and keep the good."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id").distinct(), "doc_id")
+    got = quality.quality_rules(docs, labels, ["doc_id", "lang"]).join(labels, "doc_id").where("not base_failed and quality is not null")
+    by = {r["lang"]: r for r in got.groupBy("lang").agg(*(F.sum(F.expr(f"int(quality = {q} and {k})")).alias(n) for q, k, n in ((1, "true", "good"), (1, "kept", "good_kept"), (0, "true", "bad"), (0, "kept", "bad_kept")))).collect()}
+    print(by)
+    assert sum(r["good"] >= 436 for r in by.values()) >= 3
+    for r in by.values():
+        assert r["good_kept"] >= 0.99 * r["good"]
+        assert r["bad_kept"] == (0 if r["good"] >= 436 else r["bad"])
+
+
 def test_chat_round_trip(spark):
     hostile = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "\\<\\\\[", "<\\", "", None, "<n", "a\nb"]
     rows = [(c, t, role, x) for c, role in ((1, "user"), (2, "assistant"), (None, "a<n\nb\\")) for t, x in enumerate(hostile)] + [(3, None, None, None)] * 2
