@@ -346,9 +346,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id; of rows that repeat it, one. Documents
-    without doc_id stay only if their component has no doc_id."""
-    first = joined(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    w = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    rows = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    return rows.withColumn("__row", w).where(F.expr("__row = 1")).select(*docs.columns)
+    """One row of each component stays: the one with the smallest doc_id, rows without doc_id last; of equal ones, one.
+    Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids with different texts are
+    documents of their own."""
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    of_key = joined(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("m")
+    first = rows.select("__key", "doc_id").distinct().join(of_key, "__key").groupBy("component_id").agg(best).select(F.col("m.__key").alias("__key"))
+    w = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
+    return rows.join(first, "__key", "left_semi").withColumn("__row", w).where(F.expr("__row = 1")).select(*docs.columns)

@@ -104,3 +104,14 @@ def test_stage_keeps_one_of_each_component(spark, rows):
     assert got.columns == docs.columns
     ids = [r["doc_id"] for r in got.collect()]
     assert sorted(map(repr, ids)) == sorted(map(repr, want))
+
+
+def test_stage_keeps_each_component_of_null_and_repeated_ids(spark):
+    def text(name, change=None):
+        return " ".join(f"{name}{change if i == 30 and change else i}" for i in range(60))
+
+    keep = {(None, text("a")), (None, text("b")), (None, None), (5, text("c")), (5, text("d")), (3, text("e")), (6, text("f"))}
+    more = {(5, text("e", "x")), (None, text("e", "y")), (None, text("f", "z"))}
+    docs = spark.createDataFrame([*keep, *more, (None, text("a")), (5, text("c"))], "doc_id long, text string")
+    got = [tuple(r) for r in J.join_stage(spark, docs, SF).collect()]
+    assert len(got) == len(keep) and set(got) == keep
