@@ -1,7 +1,8 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Entities (email, phone, card, ssn, ip, secret, person after a title) are found by one pattern. An entity's norm is what
-it refers to: an email in lower case, a phone's last ten digits, a person's gender and name. Each norm gets one core,
+it refers to: an email in lower case, a phone's last ten digits, a person's gender and name, a hexadecimal secret in lower
+case (its keyword may be in any case). Each norm gets one core,
 drawn by a keyed hash: same kind and length, digits for digits, letters of the same case and script for letters, a card
 with its first digit and a right check digit, a person's name of the same gender and script. Equal norms have equal
 cores in all documents (coreference); a core that equals another's, or any norm of the corpus, is drawn again until all
@@ -44,7 +45,7 @@ ALPHABETS = [
     ("\\p{Lu}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
 ]
 KINDS = {
-    "secret": r"\b(?:password|passwd|pwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{6,}|\bAKIA[0-9A-Z]{16}\b",
+    "secret": r"\b(?i:password|passwd|pwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']?[^\s\"']{6,}|\bAKIA[0-9A-Z]{16}\b",
     "email": r"(?<![\w.%+-])[\w.%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<!\d)[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?!\d)",
@@ -53,7 +54,7 @@ KINDS = {
     "person": r"(?<!\p{L})(?:" + "|".join([*MALE_TITLES, *FEMALE_TITLES]) + r")\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-SECRET_HEAD = r"^((?:password|passwd|pwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']?|AKIA)"
+SECRET_HEAD = r"^((?i:password|passwd|pwd|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']?|AKIA)"
 PERSON_HEAD = "^((?:" + "|".join([*MALE_TITLES, *FEMALE_TITLES]) + r")\.? )"
 DIGITS = ["phone", "card", "ssn"]
 KEY = "set a key of your own"
@@ -93,7 +94,8 @@ def described(surfaces: DataFrame) -> DataFrame:
     script = F.when(F.regexp_like("rest", F.lit(r"\p{IsCyrillic}")), "cyrillic").otherwise("latin")
     person = F.concat(F.when(female, "f").otherwise("m"), F.lit(":"), script, F.lit(":"), F.lower("rest"))
     norm = F.when(F.col("kind") == "person", person).when(F.col("kind") == "email", F.lower("surface")).when(F.col("kind") == "phone", F.expr("right(regexp_replace(surface, '[^0-9]', ''), 10)"))
-    return s.withColumn("norm", norm.when(F.col("kind").isin("card", "ssn"), digits).otherwise(F.col("rest"))).drop("rest")
+    one_case = (F.col("kind") == "secret") & F.regexp_like("rest", F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+    return s.withColumn("norm", norm.when(F.col("kind").isin("card", "ssn"), digits).when(one_case, F.lower("rest")).otherwise(F.col("rest"))).drop("rest")
 
 
 def picked(byte: Column, options: str | list[str]) -> Column:
@@ -142,11 +144,10 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     core, same = drawn(key)
     e = checkpointed(entities.select("kind", "norm").distinct().withColumn("attempt", F.lit(0)))
     # what a core must not be: a person's norm is compared by its name
-    plain = F.when(F.col("kind") == "person", F.split_part("norm", F.lit(":"), F.lit(3))).otherwise(F.col("norm"))
+    plain = F.when(F.col("kind") == "person", F.split_part("norm", F.lit(":"), F.lit(3))).when(F.col("kind") == "secret", F.lower("norm")).otherwise(F.col("norm"))
     taken = checkpointed(e.select("kind", plain.alias("low")).distinct())
     while True:
         c = e.withColumn("same", same).withColumn("core", core).drop("same").withColumn("low", F.lower("core"))
-        c = c.withColumn("low", F.when(F.col("kind") == "secret", F.col("core")).otherwise(F.col("low")))
         first = F.row_number().over(Window.partitionBy("kind", "low").orderBy("attempt", "norm")) == 1
         c = c.withColumn("free", first).join(taken.withColumn("real", F.lit(True)), ["kind", "low"], "left")
         c = checkpointed(c.select("kind", "norm", "attempt", "core", (F.col("free") & F.col("real").isNull()).alias("good")))
@@ -165,7 +166,9 @@ def rendered() -> Column:
     filled = F.array_join(F.transform(placed, lambda x: F.when(x["d"] > skip, F.substr("core", x["d"] - skip, F.lit(1))).otherwise(x["c"])), "")
     rest = F.expr("substring(core, greatest(0, length(regexp_replace(surface, '[^0-9]', ''))) + 1)")
     upper = (F.upper("surface") == F.col("surface")) & (F.lower("surface") != F.col("surface"))
-    letters = F.when(F.col("kind").isin("email", "person") & upper, F.upper("core")).otherwise(F.col("core"))
+    value = F.expr("substring(surface, length(head) + 1)")
+    hex_upper = (F.col("kind") == "secret") & F.regexp_like(value, F.lit("^[0-9A-F]+$")) & (upper | (F.lower(value) != value))
+    letters = F.when((F.col("kind").isin("email", "person") & upper) | hex_upper, F.upper("core")).otherwise(F.col("core"))
     return F.when(F.col("kind").isin(*DIGITS), F.concat(filled, rest)).otherwise(F.concat("head", letters))
 
 
