@@ -142,3 +142,11 @@ def test_secrets_in_capitals(spark):
     assert a and b and c and [r["n_secret"] for r in got.values()].count(3) == 2
     assert a[1].upper() == b[1] == c[1] != low.upper()[11:51] and "9233" not in b[1][:4]
     assert a[3] != "Hunter2Go" and b[3] != "HUNTER2GO" and c[2] != "01234567890123AB"
+
+
+def test_both_ways_count_the_same_seeds(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, item), (1, item), (2, f"a b {passage(item, 5)} c"), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = [sorted(map(repr, decontaminate.contaminated(docs, bench, broadcast_seeds=n).collect())) for n in (1000, 0)]
+    assert len(rows[0]) == 3 and rows[0] == rows[1]
