@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -23,14 +24,32 @@ def small_batches(spark: SparkSession, rows: int = ROWS_A_BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir or by setCheckpointDir; a folder of its own only in local mode, where
+    driver and executors are one process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder of spark.checkpoint.dir, read back: unlike a checkpoint's, its size
+    estimate is the files' own, so that steps of a loop don't multiply the estimates of those before them."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -97,32 +116,43 @@ def signed(values: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs -> (node, component): the smallest node that links reach.
 
-    Each round every node hooks to its smallest neighbour, follows that one's hook twice, and the graph is contracted
-    to the nodes hooked to; only rows move, no component is gathered anywhere. The smallest node of a component hooks
-    to none, so it is what remains. Null ends and empty input give no rows; repeated pairs do no harm.
+    Each round every node hooks to its smallest neighbour, hooks are followed to their ends by doubling, and the graph
+    is contracted to those ends. A node with links is never an end together with its neighbours, so at least half of the
+    nodes go in a round, and the smallest node of a component stays to the last. Each step is a written table: only
+    rows move, no component is gathered anywhere, and plans and their size estimates start anew from files. Null ends
+    and empty input give no rows; repeated pairs do no harm.
     """
-    edges = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    edges = written(edges.where("a is not null and b is not null and a <> b").select("a", "b"))
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        hook = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
-        for _ in range(2):
-            hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
-        hook = checkpointed(hook)
-        labels = hook if labels is None else labels.withColumnRenamed("to", "was").join(hook.withColumnRenamed("node", "was"), "was", "left").select("node", F.coalesce("to", "was").alias("to"))
+        hook = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        moved = True
+        while moved:
+            for last in (False, True):
+                ahead = F.col("next") if not last else F.struct("next", (F.col("next") != F.col("to")).alias("moved"))
+                hook = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", ahead.alias("to"))
+            step = written(hook.select("node", F.col("to.next").alias("to"), F.col("to.moved").alias("moved")))
+            moved, hook = bool(step.where("moved").limit(1).count()), step.drop("moved")
+        labels = hook if labels is None else written(followed(labels, hook))
         a, b = hook.select(F.col("node").alias("a"), F.col("to").alias("x")), hook.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = checkpointed(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        edges = written(edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if not edges.limit(1).count():
             return labels.select("node", F.col("to").alias("component"))
 
 
+def followed(labels: DataFrame, hook: DataFrame) -> DataFrame:
+    """(node, to), with `to` replaced by what it hooks to."""
+    on = hook.select(F.col("node").alias("was"), F.col("to").alias("now"))
+    return labels.withColumnRenamed("to", "was").join(on, "was", "left").select("node", F.coalesce("now", "was").alias("to"))
+
+
 def merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     """Labels (node, component) so far, with further links: only the components are linked anew."""
     if labels is None:
-        return checkpointed(components(edges))
+        return components(edges)
     at = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
     between = edges.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
-    new = checkpointed(components(checkpointed(between)))
-    old = labels.join(new.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
-    fresh = new.join(labels, "node", "left_anti")
-    return checkpointed(old.union(fresh))
+    new = components(between)
+    old = followed(labels.withColumnRenamed("component", "to"), new.withColumnRenamed("component", "to")).withColumnRenamed("to", "component")
+    return written(old.union(new.join(labels, "node", "left_anti").select("node", "component")))

@@ -3,8 +3,10 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lucerna.llm import jaccard_join as J
+from lucerna.llm import common
 from lucerna.llm.common import components, merged
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +99,14 @@ def test_components_of_links(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """In order of ids, the worst order for hooks to the smallest neighbour: steps grow with the logarithm."""
+    steps = []
+    monkeypatch.setattr(common, "written", lambda df, write=common.written: steps.append(1) or write(df))
+    got = common.components(spark.range(10_000).selectExpr("id as a", "id + 1 as b")).agg(F.count("*"), F.max("component")).first()
+    assert tuple(got) == (10_001, 0) and len(steps) <= 15
+
+
 def test_stage_keeps_one_of_each_component(spark, rows):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     want = {c for d, _, c in brute(rows)[0]}
