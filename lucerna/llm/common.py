@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rows in an Arrow batch: texts may be long, so few of them.
+#: Rows of an Arrow batch that are worked on at a time: texts may be long, so few of them.
 ROWS_A_BATCH = 512
 
 
@@ -20,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_A_BATCH) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_A_BATCH) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of a few rows."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,6 +59,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(docs: DataFrame, bytes_a_part: int) -> int:
+    """Partitions of a hash space for all that the texts hold: so many that each has a bounded share of their bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * shuffle_parts(docs.sparkSession), -(-size // bytes_a_part))
+
+
 def crc_bucket(column: str, mod: int):
     """crc32 of the column as text (null: the empty text), modulo mod."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
@@ -109,6 +120,13 @@ def unpack_ints(blob: bytes, kind: str = "<u4") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination starts in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
 def signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64, copy=False).view(np.int64)
 

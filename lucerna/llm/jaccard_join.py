@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, shuffle_parts, signed, small_batches, table, unpack_ints, unpack_sorted, words_of
+from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, shuffle_parts, signed, slices, table, unpack_ints, unpack_sorted, words_of
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles that a task sorts at a time.
@@ -84,6 +84,7 @@ def unpack_owners(blob: bytes) -> pd.DataFrame:
 def postings(docs: DataFrame, size: int, parts: int) -> DataFrame:
     """Packed (part, shingles, owner, sigs, ns): each shingle with the number of its class in the lists sigs and ns.
     Rows with `docs` hold the class of each document instead, so that texts are read and hashed once."""
+    together = SORTED_TOGETHER
     fields = {"shingles": pa.binary(), "owner": pa.binary(), "sigs": pa.binary(), "ns": pa.binary(), "docs": pa.binary()}
 
     def packed(part: int, **values: bytes) -> pa.RecordBatch:
@@ -106,7 +107,7 @@ def postings(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sets, rows, held = WordHashes(), {}, [], 0
-        for b in batches:
+        for b in slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingle_set(text, hashes, size)
                 sig = class_of(s) if len(s) else 0
@@ -115,7 +116,7 @@ def postings(docs: DataFrame, size: int, parts: int) -> DataFrame:
                 if len(s) and sig not in sets:
                     sets[sig] = s
                     held += len(s)
-                if held >= SORTED_TOGETHER:
+                if held >= together:
                     yield from flush(sets, rows)
                     sets, rows, held = {}, [], 0
         if rows:
@@ -318,14 +319,12 @@ def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
 
 def links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """All links (a, b) between classes, and so one row for each two different sets that are similar."""
-    small_batches(docs.sparkSession)
     _, sets, entries = prepared(docs, size, percent)
     return verified(counted_pairs(labelled(entries, None), percent, True), sets, percent)
 
 
 def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    small_batches(docs.sparkSession)
     own, sets, entries = prepared(docs, size, percent)
     comp = None
     for r in range(PIVOT_ROUNDS + 1):

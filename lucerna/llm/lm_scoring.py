@@ -1,20 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The model is a bigram model with absolute discounting that backs off to add-one unigrams. Its quantities are quantised
-on a logarithmic scale and kept in a Bloom filter: a key of level q is entered as (key, 1) ... (key, q), and is read by
-asking for (key, 1), (key, 2), ... until the answer is no. Levels are never read too low, and too high by one or more
-only as often as the filter errs. Entered are all unigram counts, the counts of all bigrams and the back-off weights of
-all contexts.
-
-Gathering. Tasks count the words of each distinct text and send them, packed, to partitions of the hash space. There
-each word's training count is known; what goes back to a text is its sum of log10(count + 1), so the base score needs
-no table of all words anywhere. Bigrams of training texts are summed the same way. The filter is made in pieces, one
-for each partition of keys, with BITS bits for an entry at any corpus size; their number grows with the corpus. Pieces
-stay where they are made: batches of texts send their distinct keys to the pieces and get the levels back, so no
-process holds the filter and nothing is broadcast.
+The model is an interpolated bigram model (Jelinek-Mercer): of a word w after v it says
+(1 - k) c(v, w) / c(v) + k (c(w) + 1) / (N + V + 1), where k = WEIGHT * c(v) ** -FALL, and 1 after a word never seen. The
+word before a text's first is the end of a text. With exact counts these sum to one over all words and one unseen word.
+All counts that the model reads are quantised on a logarithmic scale and kept in a Bloom filter: a key of level q is
+entered as (key, 1) ... (key, q), and is read by asking for (key, 1), (key, 2), ... until the answer is no. Levels are
+never read too low, and too high by one or more only as often as the filter errs.
+
+1. Tasks take batches of texts, and send the distinct words and bigrams of a batch with their training counts, packed,
+   to partitions of the hash space. A word or bigram, however frequent, is one entry of each batch.
+2. In its partition each word's count is known exactly, which is what the base score needs. There the partition's piece
+   of the filter is built, with BITS bits for an entry at any corpus size, and asked for the keys of every batch. The
+   pieces stay where they are made: a filter that grows with the corpus has no bound under which it may be broadcast.
+3. Levels and counts go back to the batches, which wait packed, and the texts are scored.
 
 Null and empty texts are one end token. A null doc_id counts as the empty text for the fold. Repeated rows give repeated
-results and count as often as they occur; an empty table gives no rows. Equal texts are known by a 64-bit hash.
+results and count as often as they occur; other columns are not looked at; an empty table gives no rows. Words are
+known by 64-bit hashes; equal texts of a batch are worked on once.
 """
 
 from __future__ import annotations
@@ -29,374 +31,214 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, crc_bucket, mixed, pack_ints, pack_sorted, shuffle_parts, small_batches, table, unpack_ints, unpack_sorted, words_of
+from .common import checkpointed, crc_bucket, mixed, pack_ints, pack_sorted, parts_for, runs, slices, table, unpack_ints, unpack_sorted, words_of
 
-END = np.uint64(xxhash.xxh3_64_intdigest(b"end of text"))  # no word has a blank
-SALTS = {"u": np.uint64(0x5851F42D4C957F2D), "b": np.uint64(0x14057B7EF767814F), "w": np.uint64(0x2545F4914F6CDD1D)}
-LOW = np.uint64(0xFFFFFFFF)
-HALF = np.uint64(32)
+END = b"end of text"  # no word has a blank
+SALT = np.uint64(0x5851F42D4C957F2D)
 BASE, LEVELS = 1.2, 160
 BITS, PROBES = 12, 4
-DISCOUNT = 0.75
-COUNTED_TOGETHER = 1_000_000
-TOKENS_A_PIECE = 8_000_000
-PACKED = "part int, kind string, batch long, keys binary, owner binary, counts binary, texts binary, trained binary"
-ASKED = "piece long, batch long, keys binary, texts binary, lengths binary, words binary, at binary"
+WEIGHT, FALL = 0.85, 0.1
+TOKENS_TOGETHER = 1_000_000
+#: Bytes of text whose words and bigrams one partition holds.
+BYTES_A_PART = 16 << 20
 #: Level q stands for counts from STEPS[q - 1] up to STEPS[q], and for WORTH[q].
 STEPS = np.unique(np.ceil(BASE ** np.arange(LEVELS)))
 WORTH = np.concatenate([[0.0], np.append((STEPS[:-1] + STEPS[1:] - 1) / 2, STEPS[-1])])
+#: What tasks send: keys and training counts of words and bigrams, or the texts of a batch under a part of their own.
+SENT = "part long, batch long, words binary, word_counts binary, pairs binary, pair_counts binary, docs binary, sizes binary, tokens binary, distinct binary"
+ANSWERED = "part long, batch long, n long, v long, counts binary, word_levels binary, pair_levels binary, docs binary, sizes binary, tokens binary, distinct binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
-    return np.append(hashes.of(words_of(text)), END)
-
-
-def text_key(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))
-
-
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    """Bigrams as one integer: 32 bits of the word before (0 at the start) and 32 bits of the word."""
-    low = words & LOW
-    return (np.concatenate([[np.uint64(0)], low[:-1]]) << HALF) | low
-
-
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Where a new combination starts in sorted columns."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return np.flatnonzero(new)
-
-
-def gathered(docs: DataFrame, parts: int) -> DataFrame:
-    """docs: (text, trains) -> packed counts, of kind u (words of each text) and b (bigrams of training texts)."""
-
-    def flush(texts: dict[int, list], batch: int) -> Iterator[pa.RecordBatch]:
-        keys = np.array(list(texts), np.uint64)
-        times = np.array([t for _, t in texts.values()], np.int64)
-        each = [w for w, _ in texts.values()]
-        words = np.concatenate(each)
-        owner = np.repeat(np.arange(len(keys)), [len(w) for w in each])
-        order = np.lexsort((owner, words))
-        h, o = words[order], owner[order]
-        at = runs(h, o)
-        h, o, n = h[at], o[at], np.diff(np.append(at, len(h)))
-        bounds = np.searchsorted(h, (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)) if parts > 1 else np.array([], int)
-        rows = []
-        for part, (x, y, z) in enumerate(zip(np.split(h, bounds), np.split(o, bounds), np.split(n, bounds), strict=True)):
-            if len(x):
-                used, local = np.unique(y, return_inverse=True)
-                rows.append((part, "u", batch, pack_sorted(x), pack_ints(local), pack_ints(z), keys[used].tobytes(), times[used].tobytes()))
-        trained = [(w, t) for w, t in zip(each, times, strict=True) if t]
-        if trained:
-            k = np.concatenate([pairs_of(w) for w, _ in trained])
-            n = np.repeat([t for _, t in trained], [len(w) for w, _ in trained])
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order]
-            at = runs(k)
-            k, n = k[at], np.add.reduceat(n, at)
-            to = mixed(k) % np.uint64(parts)
-            order = np.argsort(to, kind="stable")
-            k, n, to = k[order], n[order], to[order]
-            cuts = np.searchsorted(to, np.arange(1, parts).astype(np.uint64))
-            rows += [(p, "b", batch, pack_sorted(x), None, pack_ints(z), None, None) for p, (x, z) in enumerate(zip(np.split(k, cuts), np.split(n, cuts), strict=True)) if len(x)]
-        kinds = (pa.int32(), pa.string(), pa.int64(), *(pa.binary(),) * 5)
-        for r in rows:  # one by one: a row may be large
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(r, kinds, strict=True)], PACKED.replace(",", "").split()[::2])
+def names(schema: str) -> list[str]:
+    return schema.replace(",", "").split()[::2]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, texts, held, batch = WordHashes(), {}, 0, TaskContext.get().partitionId() << 24
-        for b in batches:
-            for text, trains in zip(b.column("text").to_pylist(), b.column("trains").to_pylist(), strict=True):
-                key = text_key(text)
-                if key not in texts:
-                    texts[key] = [tokens(text, hashes), 0]
-                    held += len(texts[key][0])
-                texts[key][1] += bool(trains)
-                if held >= COUNTED_TOGETHER:
-                    yield from flush(texts, batch)
-                    texts, held, batch = {}, 0, batch + 1
-        if texts:
-            yield from flush(texts, batch)
-
-    return docs.mapInArrow(send, PACKED)
-
-
-def summed(packed: DataFrame) -> DataFrame:
-    """(kind, batch, keys, values, known): u: words (32 bits) and counts; b: bigrams and counts; s: texts with their
-    sums of log10(count + 1) and tokens known; n: tokens and distinct words of training texts, as keys and values."""
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        u = pdf[pdf["kind"] == "u"]
-        if len(u):
-            h, n = [unpack_sorted(x) for x in u["keys"]], [unpack_ints(x).astype(np.int64) for x in u["counts"]]
-            own = [unpack_ints(x) for x in u["owner"]]
-            times = [np.frombuffer(x, np.int64)[o] for x, o in zip(u["trained"], own, strict=True)]
-            words, at = np.unique(np.concatenate(h), return_inverse=True)
-            c = np.bincount(at, np.concatenate(n) * np.concatenate(times), len(words)).astype(np.int64)
-            out.append(("n", 0, c.sum().astype("<i8").tobytes(), np.int64((c > 0).sum()).tobytes(), None))
-            out.append(("u", 0, (words[c > 0] & LOW).tobytes(), c[c > 0].tobytes(), None))
-            value, start = np.log10(c + 1.0), 0
-            for batch, x, y, z in zip(u["batch"], own, n, u["texts"], strict=True):
-                where = at[start : start + len(x)]
-                start += len(x)
-                texts = np.frombuffer(z, np.int64)
-                sums, known = np.bincount(x, value[where] * y, len(texts)), np.bincount(x, (c[where] > 0) * y, len(texts))
-                out.append(("s", int(batch), texts.tobytes(), sums.tobytes(), known.astype(np.int64).tobytes()))
-        b = pdf[pdf["kind"] == "b"]
-        if len(b):
-            k, n = np.concatenate([unpack_sorted(x) for x in b["keys"]]), np.concatenate([unpack_ints(x) for x in b["counts"]])
-            order = np.argsort(k, kind="stable")
-            k, n = k[order], n[order].astype(np.int64)
-            at = runs(k)
-            k, n = k[at], np.add.reduceat(n, at)
-            out.append(("b", 0, k.tobytes(), n.tobytes(), None))
-        return pd.DataFrame(out, columns=["kind", "batch", "keys", "values", "known"])
-
-    return packed.groupBy("part").applyInPandas(meet, "kind string, batch long, keys binary, values binary, known binary")
-
-
-def opened(rows: DataFrame, kind: str, value: str = "long") -> DataFrame:
-    """Arrays of one kind as rows (key, value, batch, known)."""
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                keys, values = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float64 if value == "double" else np.int64)
-                known = np.frombuffer(r["known"], np.int64) if r["known"] is not None else np.zeros(len(keys), np.int64)
-                for i in range(0, len(keys), 50_000):
-                    s = slice(i, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[s]), pa.array(values[s]), pa.array(np.full(len(keys[s]), r["batch"], np.int64)), pa.array(known[s])], ["key", "value", "batch", "known"])
-
-    return rows.where(F.col("kind") == kind).select("batch", "keys", "values", "known").mapInArrow(expand, f"key long, value {value}, batch long, known long")
-
-
-class Filter:
-    """Pieces of a Bloom filter one after the other; piece = key modulo their number."""
-
-    def __init__(self, pieces: list[bytes]):
-        self.sizes = np.array([len(p) * 8 for p in pieces], np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in pieces])[:-1]]).astype(np.uint64)
-        self.bits = np.frombuffer(b"".join(pieces), np.uint8)
-
-    def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        piece = (mixed(keys) % np.uint64(len(self.sizes))).astype(np.int64)
-        size, start = self.sizes[piece], self.starts[piece]
-        found = np.ones(len(keys), bool)
-        for p in places(keys, np.uint64(level), size):
-            found &= (self.bits[start + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Of each key, by asking for one level after the other."""
-        unique, back = np.unique(keys, return_inverse=True)
-        level, at, q = np.zeros(len(unique), np.int64), np.arange(len(unique)), 0
-        while len(at) and q < len(WORTH) - 1:
-            q += 1
-            at = at[self.holds(unique[at], q)]
-            level[at] = q
-        return level[back]
-
-
-def places(keys: np.ndarray, level, size) -> Iterator[np.ndarray]:
-    one = mixed(keys + (level << np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-    two = mixed(one) | np.uint64(1)
-    for i in range(PROBES):
-        yield (one + np.uint64(i) * two) % size
-
-
-def piece_of(keys: np.ndarray, pieces: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(pieces)).astype(np.int64)
-
-
-def pieces_of(entries: DataFrame, pieces: int) -> DataFrame:
-    """entries: (key, level) -> (piece, bits). Each piece is made where its keys meet."""
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, level = pdf["key"].to_numpy(np.int64).view(np.uint64), pdf["level"].to_numpy(np.int64)
-        size = max(8, int(level.sum()) * BITS // 8 + 1)
-        bits = np.zeros(size * 8, bool)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            for p in places(keys[level >= q], np.uint64(q), np.uint64(size * 8)):
-                bits[p] = True
-        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+def level_of(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(STEPS, counts, side="right")
 
-    split = entries.mapInPandas(lambda it: (p.assign(piece=piece_of(p["key"].to_numpy(np.int64).view(np.uint64), pieces)) for p in it), "key long, level int, piece long")
-    return split.groupBy("piece").applyInPandas(make, "piece long, bits binary")
 
+class Numbers(dict):
+    """Numbers words as they come; the end of a text is 0."""
 
-def built(entries: DataFrame, pieces: int) -> Filter:
-    """The whole filter in one place, if it is small."""
-    made = {r["piece"]: bytes(r["bits"]) for r in pieces_of(entries, pieces).collect()}
-    return Filter([made.get(i, b"\0" * 8) for i in range(pieces)])
+    def __init__(self):
+        super().__init__({END: 0})
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-def weight_level(weight: np.ndarray) -> np.ndarray:
-    """Back-off weights from 2**-8 to 2**2 in eighths of a power; no level stands for 1."""
-    return np.clip(np.round((np.log2(np.maximum(weight, 1e-9)) + 8) * 8), 1, 80).astype(np.int64)
+    def of(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.__getitem__, [*words, END]), np.int64, len(words) + 1)
 
 
-def weight_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level == 0, 0.0, (level / 8.0 - 8) * np.log10(2.0))
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
 
 
-def entries_of(unigrams: DataFrame, bigrams: DataFrame, n: int, v: int, texts: int) -> DataFrame:
-    """(key, level) of all that the filter holds."""
-    start = unigrams.sparkSession.createDataFrame([(0, texts)], "word long, c long")
-    context = unigrams.union(start).select(F.col("word").alias("before"), F.col("c").alias("cv"))
-    b = bigrams.select(F.shiftrightunsigned("key", 32).alias("before"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word"), F.col("value").alias("c2"), "key")
-    held = b.join(unigrams, "word").groupBy("before").agg(F.sum(F.col("c2") - DISCOUNT).alias("mass"), F.sum((F.col("c") + 1) / (n + v + 1)).alias("taken"))
-    # what seen bigrams leave of the context's probability, over what unigrams give to unseen words
-    left = F.greatest(F.lit(1e-6), 1 - F.col("mass") / F.col("cv")) / F.greatest(F.lit(1e-6), 1 - F.col("taken"))
-    weights = held.join(context, "before").select(F.col("before").alias("key"), left.alias("value"), F.lit("w").alias("kind"))
-    all_ = unigrams.select(F.col("word").alias("key"), F.col("c").cast("double").alias("value"), F.lit("u").alias("kind")).union(bigrams.select("key", F.col("value").cast("double"), F.lit("b"))).union(weights)
-
-    def level(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in frames:
-            kind, value = p["kind"].to_numpy(str), p["value"].to_numpy(float)
-            salt = np.select([kind == "u", kind == "b"], [SALTS["u"], SALTS["b"]], SALTS["w"]).astype(np.uint64)
-            q = np.where(kind == "w", weight_level(value), np.searchsorted(STEPS, value, side="right"))
-            yield pd.DataFrame({"key": (p["key"].to_numpy(np.int64).view(np.uint64) ^ salt).view(np.int64), "level": q.astype(np.int32)})
-
-    return all_.mapInPandas(level, "key long, level int")
-
-
-def word_pairs(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each word and the one before it, 0 at the start of a text."""
-    word = words & LOW
-    before = np.concatenate([[np.uint64(0)], word[:-1]])
+def bigrams(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Number of the word before (the end's at the start of a text) and of the word, as one integer."""
+    before = np.concatenate([[0], tokens[:-1]])
     before[starts] = 0
-    return before, word
+    return (before << 32) | tokens
 
 
-def probes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The distinct keys that text_scores asks for, sorted."""
-    before, word = word_pairs(words, starts)
-    return np.unique(np.concatenate([np.unique(word) ^ SALTS["u"], np.unique((before << HALF) | word) ^ SALTS["b"], np.unique(before) ^ SALTS["w"]]))
+def pair_keys(pairs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return mixed(mixed(hashes[pairs >> 32]) + hashes[pairs & 0xFFFFFFFF])
 
 
-class Answers:
-    """Levels of the keys that were asked for."""
+class Filter:
+    """A piece of the Bloom filter, for the keys of one partition."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, bits: int = BITS):
+        self.size = np.uint64(max(64, int(levels.sum()) * bits))
+        table_ = np.zeros(int(self.size), bool)
+        for q in range(1, int(levels.max(initial=0)) + 1):
+            keys, levels = keys[levels >= q], levels[levels >= q]
+            for p in self.places(keys, q):
+                table_[p] = True
+        self.bits = np.packbits(table_, bitorder="little")
+
+    def places(self, keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
+        one = mixed(keys + np.uint64((2 * level * 0xD1342543DE82EF95) % (1 << 64)))
+        two = mixed(one) | np.uint64(1)
+        for i in range(PROBES):
+            yield (one + np.uint64(i) * two) % self.size
 
-    def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.keys, self.known = keys, levels
+    def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for p in self.places(keys, level):
+            found &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return found
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.known[np.searchsorted(self.keys, keys)]
-
-
-def text_scores(words: np.ndarray, starts: np.ndarray, filter_: Filter | Answers, n: int, v: int, texts: int) -> np.ndarray:
-    """log10 probability of each text; words of all texts, one after the other, from starts on."""
-    before, word = word_pairs(words, starts)
-    c = WORTH[filter_.levels(word ^ SALTS["u"])]
-    cv = np.concatenate([[0.0], c[:-1]])
-    cv[starts] = texts
-    c2 = WORTH[filter_.levels(((before << HALF) | word) ^ SALTS["b"])]
-    seen = (c2 > 0) & (cv > 0)
-    joint = np.log10(np.maximum(c2 - DISCOUNT, 0.25) / np.maximum(np.maximum(cv, c2), 1.0))
-    back = weight_of(filter_.levels(before ^ SALTS["w"])) + np.log10((c + 1) / (n + v + 1))
-    return np.add.reduceat(np.where(seen, np.minimum(joint, 0.0), np.minimum(back, 0.0)), starts)
-
-
-def starts_of(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-
-
-def asked(docs: DataFrame, pieces: int) -> DataFrame:
-    """docs: (text) -> for each batch of texts its distinct keys, a row for each piece, and the texts themselves, packed,
-    under a piece below 0 that no other batch has."""
-    names = ASKED.replace(",", "").split()[::2]
-    kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 5)
-
-    def flush(texts: dict[int, np.ndarray], batch: int) -> Iterator[pa.RecordBatch]:
-        lengths, words = np.array([len(w) for w in texts.values()]), np.concatenate(list(texts.values()))
-        distinct, at = np.unique(words, return_inverse=True)
-        keys = probes(words, starts_of(lengths))
-        to = piece_of(keys, pieces)
-        order = np.argsort(to, kind="stable")
-        keys, to = keys[order], to[order]
-        rows = [(-1 - batch, batch, None, np.array(list(texts), np.uint64).tobytes(), pack_ints(lengths), pack_sorted(distinct), pack_ints(at))]
-        first = runs(to)
-        rows += [(int(to[i]), batch, pack_sorted(x), *(None,) * 4) for i, x in zip(first, np.split(keys, first[1:]), strict=True)]
-        for r in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds, strict=True)], names)
+        """Of each key, by asking for one level after the other."""
+        level, at, q = np.zeros(len(keys), np.uint8), np.arange(len(keys)), 0
+        while len(at) and q < len(WORTH) - 1:
+            q += 1
+            at = at[self.holds(keys[at], q)]
+            level[at] = q
+        return level
+
+
+def probabilities(before: np.ndarray, word: np.ndarray, pair: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Of words, from the counts of the word before, the word and the bigram."""
+    weight = np.where(before > 0, WEIGHT * np.maximum(before, 1) ** -FALL, 1.0)
+    return (1 - weight) * pair / np.maximum(np.maximum(before, pair), 1) + weight * (word + 1) / (n + v + 1)
+
+
+def gathered(docs: DataFrame, parts: int, together: int = TOKENS_TOGETHER) -> DataFrame:
+    """docs: (doc_id, text, held_out) -> packed words, bigrams and texts of batches of texts."""
+    kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 8)
+    bounds = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+
+    def cut(keys: np.ndarray, counts: np.ndarray) -> list[tuple[bytes, bytes] | None]:
+        at = np.searchsorted(keys, bounds)
+        return [(pack_sorted(k), pack_ints(c)) if len(k) else (None, None) for k, c in zip(np.split(keys, at), np.split(counts, at), strict=True)]
+
+    def flush(numbers: Numbers, texts: dict, rows: list[tuple], batch: int) -> Iterator[pa.RecordBatch]:
+        each = list(texts.values())
+        sizes = np.array([len(x) for x in each])
+        starts, tokens = starts_of(sizes), np.concatenate(each)
+        ids, known, held, at = (np.array(x) for x in zip(*((d or 0, d is not None, h, k) for d, h, k in rows), strict=True))
+        times = np.repeat(np.bincount(at[~held], minlength=len(each)), sizes)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+        order = np.argsort(hashes, kind="stable")
+        words = cut(hashes[order], np.bincount(tokens, times, len(numbers)).astype(np.int64)[order])
+        pairs = bigrams(tokens, starts)
+        by_pair = np.argsort(pairs, kind="stable")
+        pairs = pairs[by_pair]
+        first = runs(pairs)
+        keys, counts = pair_keys(pairs[first], hashes), np.add.reduceat(times[by_pair], first)
+        order = np.argsort(keys, kind="stable")
+        docs_ = pack_ints(np.array([ids, known, held, at], np.int64).ravel(), "<i8")
+        out = [(-1 - batch, batch, *(None,) * 4, docs_, pack_ints(sizes), pack_ints(tokens), pack_ints(hashes, "<u8"))]
+        out += [(p, batch, *w, *x, *(None,) * 4) for p, (w, x) in enumerate(zip(words, cut(keys[order], counts[order]), strict=True)) if w[0] or x[0]]
+        for r in out:  # one by one: a row may be large
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(r, kinds, strict=True)], names(SENT))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, texts, held, batch = WordHashes(), {}, 0, TaskContext.get().partitionId() << 24
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                key = text_key(text)
-                if key not in texts:
-                    texts[key] = tokens(text, hashes)
-                    held += len(texts[key])
-                if held >= COUNTED_TOGETHER:
-                    yield from flush(texts, batch)
-                    texts, held, batch = {}, 0, batch + 1
-        if texts:
-            yield from flush(texts, batch)
-
-    return docs.mapInArrow(send, ASKED)
-
-
-def answered(questions: DataFrame, filter_: DataFrame) -> DataFrame:
-    """The questions with the levels of the keys, a byte each, in place of the keys."""
-
-    def answer(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        if len(q) and q["piece"].iloc[0] >= 0:
-            each = [unpack_sorted(x) for x in q["keys"]]
-            levels = Filter([f["bits"].iloc[0] if len(f) else b"\0" * 8]).levels(np.concatenate(each)).astype(np.uint8)
-            q = q.assign(keys=[x.tobytes() for x in np.split(levels, np.cumsum([len(x) for x in each])[:-1])])
-        return q
-
-    return questions.groupBy("piece").cogroup(filter_.groupBy("piece")).applyInPandas(answer, ASKED)
+        numbers, texts, rows, index, held, batch = Numbers(), {}, [], {}, 0, TaskContext.get().partitionId() << 32
+        for b in slices(batches):
+            for doc_id, text, out in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held_out")), strict=True):
+                text = text or ""
+                k = index.setdefault(text, len(index))
+                rows.append((doc_id, out, k))
+                if k not in texts:
+                    texts[k] = numbers.of(text)
+                    held += len(texts[k])
+                if held >= together:
+                    yield from flush(numbers, texts, rows, batch)
+                    numbers, texts, rows, index, held, batch = Numbers(), {}, [], {}, 0, batch + 1
+        if rows:
+            yield from flush(numbers, texts, rows, batch)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(send, SENT)
+
+
+def answered(sent: DataFrame, bits: int = BITS) -> DataFrame:
+    """To each batch, the counts of its words, and the levels of its words and bigrams as the filter has them; and from
+    each partition its training tokens and distinct words. The texts of batches pass through."""
+    columns = names(ANSWERED)
+
+    def together(blobs: pd.Series, counts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        each = [unpack_sorted(x) for x in blobs]
+        keys, at = np.unique(np.concatenate(each), return_inverse=True)
+        return keys, at, np.bincount(at, np.concatenate([unpack_ints(x) for x in counts]), len(keys)).astype(np.int64), np.cumsum([len(x) for x in each])[:-1]
 
-
-def bigram_scores(docs: DataFrame, filter_: DataFrame, pieces: int, n: int, v: int, texts: int) -> DataFrame:
-    """(key, n_tokens, score) of each distinct text, without any process holding the filter."""
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] < 0:
+            return pd.DataFrame([[*x[:2], *(None,) * 5, *x[2:]] for x in pdf[["part", "batch", *columns[-4:]]].itertuples(index=False)], columns=columns)
+        part = int(pdf["part"].iloc[0])
+        w, p = pdf[pdf["words"].notna()], pdf[pdf["pairs"].notna()]
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        words, at_w, c, cut_w = together(w["words"], w["word_counts"]) if len(w) else none
+        pairs, at_p, c2, cut_p = together(p["pairs"], p["pair_counts"]) if len(p) else none
+        keys = np.concatenate([words ^ SALT, pairs])
+        levels = Filter(keys, level_of(np.concatenate([c, c2])), bits).levels(keys)
+        of_words, of_pairs = levels[: len(words)][at_w], levels[len(words) :][at_p]
+        batches: dict[int, list] = {int(b): [part, int(b), None, None, *(None,) * 7] for b in pdf["batch"]}
+        for b, x, y in zip(w["batch"], np.split(c[at_w], cut_w), np.split(of_words, cut_w), strict=False):
+            batches[int(b)][4:6] = [pack_ints(x, "<i8"), pack_ints(y, "<u1")]
+        for b, y in zip(p["batch"], np.split(of_pairs, cut_p), strict=False):
+            batches[int(b)][6] = pack_ints(y, "<u1")
+        return pd.DataFrame([*batches.values(), [part, -1, int(c.sum()), int((c > 0).sum()), *(None,) * 7]], columns=columns).astype({"n": "Int64", "v": "Int64"})
+
+    return sent.groupBy("part").applyInPandas(meet, ANSWERED)
+
+
+def batch_scores(answers: DataFrame, n: int, v: int) -> DataFrame:
+    def joined(blobs: pd.Series, kind: str) -> np.ndarray:
+        return np.concatenate([np.zeros(0, kind), *(unpack_ints(x, kind) for x in blobs.dropna())])
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["piece"] < 0
-        r, levels = pdf[own].iloc[0], dict(zip(pdf["piece"][~own], pdf["keys"][~own], strict=True))
-        lengths = unpack_ints(r["lengths"]).astype(np.int64)
-        words, starts = unpack_sorted(r["words"])[unpack_ints(r["at"])], starts_of(lengths)
-        keys = probes(words, starts)
-        known = np.zeros(len(keys), np.int64)
-        known[np.argsort(piece_of(keys, pieces), kind="stable")] = np.frombuffer(b"".join(levels[p] for p in sorted(levels)), np.uint8)
-        return pd.DataFrame({"key": np.frombuffer(r["texts"], np.int64), "n_tokens": lengths, "score": text_scores(words, starts, Answers(keys, known), n, v, texts)})
-
-    each = answered(asked(docs.select("text"), pieces), filter_).groupBy("batch").applyInPandas(score, "key long, n_tokens long, score double")
-    return each.groupBy("key").agg(F.min(F.struct("n_tokens", "score")).alias("m")).select("key", "m.*")
-
-
-def scored(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
+        pdf = pdf.sort_values("part")  # the batch's texts first, then parts as their keys are sorted
+        own = pdf.iloc[0]
+        ids, known, held, at = unpack_ints(own["docs"], "<i8").reshape(4, -1)
+        sizes, tokens, hashes = unpack_ints(own["sizes"]).astype(np.int64), unpack_ints(own["tokens"]).astype(np.int64), unpack_ints(own["distinct"], "<u8")
+        starts, order = starts_of(sizes), np.argsort(hashes, kind="stable")
+        exact, level = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        exact[order], level[order] = joined(pdf["counts"], "<i8"), joined(pdf["word_levels"], "<u1")
+        pairs, to = np.unique(bigrams(tokens, starts), return_inverse=True)
+        pair_level = np.empty(len(pairs), np.int64)
+        pair_level[np.argsort(pair_keys(pairs, hashes), kind="stable")] = joined(pdf["pair_levels"], "<u1")
+        count = WORTH[level]
+        p = np.log10(probabilities(count[pairs >> 32], count[pairs & 0xFFFFFFFF], WORTH[pair_level], n, v))
+        base = np.add.reduceat(np.log10(exact + 1.0)[tokens], starts) - sizes * np.log10(n + v + 1.0)
+        of_text = {"n_tokens": sizes, "n_known": np.add.reduceat((exact > 0)[tokens].astype(np.int64), starts), "base_score": base, "score": np.add.reduceat(p[to], starts)}
+        out = pd.DataFrame({k: x[at] for k, x in of_text.items()})
+        return out.assign(doc_id=pd.Series(ids).astype("Int64").where(known > 0), held_out=held > 0, train_tokens=n)[names(SCORED)]
+
+    return answers.groupBy("batch").applyInPandas(score, SCORED)
+
+
+def scored(docs: DataFrame, folds: int = 7, held: int = 2, bits: int = BITS, together: int = TOKENS_TOGETHER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = 2 * shuffle_parts(spark)
-    out = crc_bucket("doc_id", folds) == held
-    rows = checkpointed(summed(gathered(docs.select("text", (~out).alias("trains")), parts)))
-    total = opened(rows, "n").agg(F.coalesce(F.sum("key"), F.lit(0)).alias("n"), F.coalesce(F.sum("value"), F.lit(0)).alias("v")).first()
-    n, v = total["n"], total["v"]
-    unigrams = opened(rows, "u").groupBy(F.col("key").alias("word")).agg(F.sum("value").alias("c"))
-    end = unigrams.where(F.col("word") == int(END & LOW)).first()
-    texts = end["c"] if end else 0
-    small_batches(spark, 20_000)  # narrow rows
-    pieces = max(parts, -(-n // TOKENS_A_PIECE))
-    filter_ = checkpointed(pieces_of(entries_of(unigrams, opened(rows, "b"), n, v, texts), pieces))
-    small_batches(spark)
-    sums = opened(rows, "s", "double").groupBy("key", "batch").agg(F.sum("value").alias("value"), F.sum("known").alias("known"))
-    sums = sums.groupBy("key").agg(F.min(F.struct("batch", "value", "known")).alias("s")).select("key", "s.value", "s.known")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.array([text_key(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(keys)], ["doc_id", "held_out", "key"])
-
-    own = docs.select("doc_id", "text", out.alias("held_out")).mapInArrow(keyed, "doc_id long, held_out boolean, key long")
-    base = F.col("value") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
-    by_text = bigram_scores(docs, filter_, pieces, n, v, texts).join(sums, "key")
-    return own.join(by_text, "key").select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    rows = docs.select("doc_id", "text", (crc_bucket("doc_id", folds) == held).alias("held_out"))
+    answers = checkpointed(answered(gathered(rows, parts_for(docs, BYTES_A_PART), together), bits))
+    total = answers.where("batch = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    return batch_scores(answers.where("batch >= 0").drop("n", "v"), total["n"], total["v"])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, table
+from .common import checkpointed, slices, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -50,11 +50,10 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", special: int = 50256, end: int = 2, capacity: int = 1024) -> DataFrame:
-    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(vocabulary, special)
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), end).astype("<u4")
@@ -128,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 256, max_cost:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lengths, salt = b.column("length").to_numpy(), b.column("salt").to_numpy()
             rank = b.column("rank").to_numpy().astype(np.int64)
             sequence, offset = np.zeros_like(rank), np.zeros_like(rank)

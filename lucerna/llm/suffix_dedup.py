@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpointed, mixed, pack_ints, pack_sorted, shuffle_parts, small_batches, table, unpack_ints, unpack_sorted
+from .common import MIX, checkpointed, mixed, pack_ints, pack_sorted, shuffle_parts, slices, table, unpack_ints, unpack_sorted
 
 LENGTH, GRAM = 200, 32
 #: Bytes whose anchors a task finds at a time, and anchors that it sends at a time.
@@ -232,6 +232,8 @@ def group_of(keys: np.ndarray, groups: int) -> np.ndarray:
 
 
 def sent_anchors(docs: DataFrame, parts: int) -> DataFrame:
+    scanned, sent_ = SCANNED_TOGETHER, SENT_TOGETHER
+
     def flush(found: list[tuple], keys: list[int]) -> Iterator[pa.RecordBatch]:
         h, owner, first, n, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
@@ -247,19 +249,19 @@ def sent_anchors(docs: DataFrame, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         found, keys, texts, held, n = [], [], [], 0, 0
-        for b in batches:
+        for b in slices(batches):
             for data in map(raw, b.column("text").to_pylist()):
                 if len(data) >= LENGTH and (key := key_of(data)) not in seen:
                     seen.add(key)
                     keys.append(key)
                     texts.append(data)
                     held += len(data)
-                if held >= SCANNED_TOGETHER:
+                if held >= scanned:
                     h, owner, *rest = anchors(texts)
                     found.append((h, owner + len(keys) - len(texts), *rest))
                     n += len(h)
                     texts, held = [], 0
-                    if n >= SENT_TOGETHER:
+                    if n >= sent_:
                         yield from flush(found, keys)
                         found, keys, n = [], [], 0
         if texts:
@@ -273,6 +275,7 @@ def sent_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
 def repeated_anchors(sent: DataFrame, groups: int) -> DataFrame:
     """Packed (grp, key, hash, first, n, place, hot) of the anchors that occur at two places or more."""
+    many = HOT
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([unpack_sorted(x) for x in pdf["hash"]])
@@ -291,7 +294,7 @@ def repeated_anchors(sent: DataFrame, groups: int) -> DataFrame:
         grp = group_of(key, groups)
         order = np.argsort(grp, kind="stable")
         cuts = np.flatnonzero(np.diff(grp[order])) + 1
-        columns = [np.split(x[order], cuts) for x in (grp, key, h, first, n, place, times > HOT)]
+        columns = [np.split(x[order], cuts) for x in (grp, key, h, first, n, place, times > many)]
         rows = [(int(g[0]), k.tobytes(), pack_ints(x, "<u8"), *map(pack_ints, rest)) for g, k, x, *rest in zip(*columns, strict=True) if len(g)]
         return pd.DataFrame(rows, columns=["grp", "key", "hash", "first", "n", "place", "hot"])
 
@@ -306,7 +309,7 @@ def texts_by_group(docs: DataFrame, groups: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for data in map(raw, b.column("text").to_pylist()):
                 if len(data) >= LENGTH and (key := key_of(data)) not in seen:
@@ -407,7 +410,7 @@ def cleaned(cut: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def rows_of(docs: DataFrame) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             data = [raw(t) for t in b.column("text").to_pylist()]
             columns = [pa.array([key_of(x) for x in data], pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "key", "n_bytes", "whole"])
@@ -417,7 +420,6 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, n_removed, n_spans, kept_sha256, kept) of each text that occurs once and has repeated strings."""
-    small_batches(docs.sparkSession)
     parts = 2 * shuffle_parts(docs.sparkSession)
     cut = checkpointed(segments(texts_by_group(docs, parts), repeated_anchors(sent_anchors(docs, parts), parts), parts))
     # a name stands for one content: its shard is the content's

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import slices, table
 
 MARK = "▁"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -67,12 +67,11 @@ class PreTokenCounts(dict):
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int) -> DataFrame:
-    small_batches(docs.sparkSession)
     proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(load_model(model)))  # as large as the vocabulary at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = PreTokenCounts(load_model(model), proved.value)
-        for b in batches:
+        for b in slices(batches):
             n = pa.array([counts.of(t) for t in b.column("text").to_pylist()], pa.int64())
             size = pc.fill_null(pc.binary_length(b.column("text")), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

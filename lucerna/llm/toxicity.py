@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, small_batches, table
+from .common import crc_bucket, slices, table
 
 WINDOW, STRIDE = 24, 12
 WORD_BUCKETS, GRAM_BUCKETS, WIDTH, STATE = 1 << 13, 1 << 12, 12, 8
@@ -264,11 +264,10 @@ def scores_of(p: dict, texts: list[str | None]) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(fitted(*sample(docs, labels, per_class)))  # of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 s = scores_of(model.value, b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])

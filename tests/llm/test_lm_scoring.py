@@ -15,83 +15,77 @@ def words(text):
     return [w for w in re.split("[\x20\x09-\x0d]+", t) if w] + [None]
 
 
+def fold(d):
+    return zlib.crc32(str("" if d is None else d).encode()) % 7 == 2
+
+
+def counts(rows):
+    one, two = Counter(), Counter()
+    for d, t in rows:
+        if not fold(d):
+            w = words(t)
+            one.update(w)
+            two.update(zip([None, *w], w, strict=False))
+    return one, two
+
+
 def brute(rows):
-    c = Counter()
+    """Base scores, and scores from tables of quantised counts in place of the filter."""
+    one, two = counts(rows)
+    n, v = sum(one.values()), len(one)
+    q = lambda c: float(L.WORTH[L.level_of(np.array(c))])
+    out = []
     for d, t in rows:
-        if zlib.crc32(str("" if d is None else d).encode()) % 7 != 2:
-            c.update(words(t))
-    n, v = sum(c.values()), len(c)
-    return {(d, zlib.crc32(str("" if d is None else d).encode()) % 7 == 2, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for d, w in ((d, words(t)) for d, t in rows)}
-
-
-def test_base_scores(spark, monkeypatch):
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows += [(7000, None), (7001, ""), (None, "a b"), (7002, "a b"), (7002, "a b"), (7003, "É é x end of text")]
-    docs = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, key long").repartition(3)
-    for together in (L.COUNTED_TOGETHER, 300):
-        monkeypatch.setattr(L, "COUNTED_TOGETHER", together)
-        got = L.scored(docs).collect()
-        assert len(got) == len(rows)
-        assert {(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got} == brute(rows)
-    out = [r for r in got if r["held_out"]]
-    print(sum(r["score"] for r in out), sum(r["base_score"] for r in out))
-    assert sum(r["score"] for r in out) >= 1.02 * sum(r["base_score"] for r in out)
-    assert sum(r["score"] for r in got if not r["held_out"]) > sum(r["base_score"] for r in got if not r["held_out"])
-    assert all(r["score"] <= 0 for r in got)
+        w = words(t)
+        p = [L.probabilities(np.array(q(one[a])), np.array(q(one[b])), np.array(q(two[a, b])), n, v) for a, b in zip([None, *w], w, strict=False)]
+        out.append((d, fold(d), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w), float(np.log10(p).sum())))
+    return sorted(out, key=repr)
+
+
+EDGES = [(7000, None), (7001, ""), (None, "a b"), (7002, "a b"), (7002, "a b"), (7003, "É é x end of text"), (None, None), (7004, "ab " * 30_000)]
+
+
+def test_scores_against_tables(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + EDGES
+    docs = spark.createDataFrame([(*r, 1.0, 2, 3) for r in rows], "doc_id long, text string, score double, batch long, part int").repartition(3)
+    want = brute(rows)
+    for bits, off in ((L.BITS, 0.02), (400, 1e-6)):
+        got = sorted((tuple(r) for r in L.scored(docs, bits=bits, together=20_000).collect()), key=repr)
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert np.allclose([r[5] for r in got], [r[5] for r in want], rtol=1e-9)
+        difference = np.array([r[6] for r in got]) - [r[6] for r in want]
+        assert np.abs(difference).sum() <= off * abs(sum(r[6] for r in want))
+    out = [r for r in got if r[1]]
+    assert sum(r[6] for r in out) > sum(r[5] for r in out) and all(r[6] <= 0 for r in got)
     assert L.scored(docs.limit(0)).count() == 0
 
 
-def test_filter_never_reads_too_low(spark):
+def test_parts_and_batches_do_not_change_scores(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: r["score"] for r in L.scored(docs, bits=400).collect()}
+    monkeypatch.setattr(L, "BYTES_A_PART", 20_000)
+    got = {r["doc_id"]: r["score"] for r in L.scored(docs.repartition(5), bits=400, together=3_000).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_filter_never_reads_too_low():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 62, 20_000)
-    level = rng.integers(1, 30, 20_000)
-    f = L.built(spark.createDataFrame([(int(k), int(q)) for k, q in zip(keys[:10_000], level, strict=False)], "key long, level int"), 3)
-    got = f.levels(keys.astype(np.uint64))
-    assert (got[:10_000] >= level[:10_000]).all() and (got[:10_000] > level[:10_000]).mean() < 0.02 and (got[10_000:] > 0).mean() < 0.02
-
-
-def test_model_sums_to_one_at_most(spark):
-    texts = [("the cat sat on the mat", True)] * 3 + [("the dog sat on the log", True)] * 2 + [("a cat ran", True)]
-    docs = spark.createDataFrame(texts, "text string, trains boolean")
-    rows = L.summed(L.gathered(docs, 2)).cache()
-    t = L.opened(rows, "n").agg({"key": "sum", "value": "sum"}).first()
-    n, v = t["sum(key)"], t["sum(value)"]
-    uni = L.opened(rows, "u").selectExpr("key as word", "value as c")
-    f = L.built(L.entries_of(uni, L.opened(rows, "b"), n, v, 6), 2)
-    hashes = L.WordHashes()
-    vocabulary = sorted({w for t, _ in texts for w in t.split()})
-    for before in ("the", "cat", "on", "ran"):
-        total = 0
-        for w in vocabulary:
-            two, one = L.tokens(f"{before} {w}", hashes)[:-1], L.tokens(before, hashes)[:-1]
-            score = lambda x: L.text_scores(x, np.array([0]), f, n, v, 6)[0]
-            total += 10 ** (score(two) - score(one))
-        assert 0.3 < total < 1.15
-
-
-def test_filter_grows_with_its_entries(spark, monkeypatch):
-    """A bound on the filter would change the levels read and so the scores; and keys sent to pieces read as the whole filter does."""
-    monkeypatch.setattr(L, "MAX_BYTES", 4000, raising=False)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120)
-    got = {r["doc_id"]: r["score"] for r in L.scored(docs).collect()}
-    rows = L.summed(L.gathered(docs.selectExpr("text", "crc32(cast(doc_id as string)) % 7 <> 2 as trains"), 8)).cache()
-    t = L.opened(rows, "n").agg({"key": "sum", "value": "sum"}).first()
-    n, v = t["sum(key)"], t["sum(value)"]
-    uni = L.opened(rows, "u").selectExpr("key as word", "value as c")
-    texts = uni.where(uni["word"] == int(L.END & L.LOW)).first()["c"]
-    entries = L.entries_of(uni, L.opened(rows, "b"), n, v, texts).cache()
-    f, hashes = L.built(entries, 8), L.WordHashes()
-    assert 8 * len(f.bits) >= L.BITS * entries.agg({"level": "sum"}).first()[0]
-    for r in docs.collect():
-        assert abs(got[r["doc_id"]] - L.text_scores(L.tokens(r["text"], hashes), np.array([0]), f, n, v, texts)[0]) < 1e-6
-
-
-def test_bigrams_seen_once_count(spark):
-    docs = spark.createDataFrame([(0, "a b c"), (1, "d e f"), (3, "b a")], "doc_id long, text string").selectExpr("text", "true as trains")
-    rows = L.summed(L.gathered(docs, 2)).cache()
-    assert L.opened(rows, "b").count() == 11 and {r["value"] for r in L.opened(rows, "b").collect()} == {1}
-    uni = L.opened(rows, "u").selectExpr("key as word", "value as c")
-    f, hashes = L.built(L.entries_of(uni, L.opened(rows, "b"), 11, 7, 3), 2), L.WordHashes()
-    score = lambda t: L.text_scores(L.tokens(t, hashes), np.array([0]), f, 11, 7, 3)[0]
-    assert abs(score("d e f") - (math.log10(0.25 / 3) + 3 * math.log10(0.25))) < 1e-6
-    assert score("d e f") > score("f e d")
+    keys = rng.integers(0, 1 << 62, 20_000).astype(np.uint64)
+    level = rng.integers(0, 30, 10_000)
+    f = L.Filter(keys[:10_000], level)
+    got = f.levels(keys)
+    assert (got[:10_000] >= level).all() and (got[:10_000] > level).mean() < 0.02 and (got[10_000:] > 0).mean() < 0.02
+    assert 8 * len(f.bits) >= L.BITS * level.sum() and (L.Filter(keys[:0], level[:0]).levels(keys[:9]) == 0).all()
+
+
+def test_model_sums_to_one():
+    one, two = counts([(0, "the cat sat on the mat"), (1, "the dog sat on the log"), (3, "a cat ran"), (4, "the the cat")])
+    n, v = sum(one.values()), len(one)
+    for before in [*one, "never"]:
+        p = [L.probabilities(np.array(one[before]), np.array(c), np.array(two[before, w]), n, v) for w, c in [*one.items(), ("unseen", 0)]]
+        assert abs(sum(p) - 1) < 1e-9
+
+
+def test_steps_of_the_scale():
+    c = np.arange(1, 5000)
+    assert (L.level_of(c) > 0).all() and L.level_of(np.array([0])) == 0 and (np.abs(L.WORTH[L.level_of(c)] - c) <= 0.12 * c).all()
