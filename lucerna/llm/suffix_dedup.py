@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpointed, mixed, pack_ints, pack_sorted, shuffle_parts, slices, table, unpack_ints, unpack_sorted
+from .common import MIX, checkpointed, mixed, pack_ints, pack_sorted, parts_for, slices, table, unpack_ints, unpack_sorted
 
 LENGTH, GRAM = 200, 32
 #: Bytes whose anchors a task finds at a time, and anchors that it sends at a time.
@@ -39,6 +39,8 @@ SCANNED_TOGETHER, SENT_TOGETHER = 2 << 20, 400_000
 #: Occurrences of an anchor from which its segments are cut into pieces of PIECE windows.
 HOT, PIECE = 256, 16
 SCALAR_ALPHABET = 2048
+#: Bytes of texts whose repeated anchors one shard gets.
+BYTES_A_SHARD = 8 << 20
 
 
 # --- suffix arrays
@@ -104,30 +106,59 @@ def induced_by_bucket(s: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray)
 
 
 def induced_one_by_one(s: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
-    """The same for large alphabets, where buckets hold few suffixes each."""
+    """The same for large alphabets, where buckets hold few suffixes each. Places not yet filled hold 0, before which
+    nothing stands."""
     ends = np.cumsum(np.bincount(s, minlength=k))
-    heads, tails = np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()
-    text, kinds, out = s.tolist(), small.tolist(), [-1] * len(s)
-    for p in reversed(lms.tolist()):
-        tails[text[p]] -= 1
-        out[tails[text[p]]] = p
-    for i in range(len(out)):
-        p = out[i] - 1
-        if p >= 0 and not kinds[p]:
-            c = text[p]
-            out[heads[c]] = p
-            heads[c] += 1
+    out = [0] * len(s)
     tails = ends.tolist()
-    for i in range(len(out) - 1, -1, -1):
-        p = out[i] - 1
-        if p >= 0 and kinds[p]:
-            c = text[p]
+    for p, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist(), strict=True):
+        tails[c] -= 1
+        out[tails[c]] = p
+    # of the suffix before each one: its character if it is of the kind that is induced, else -1
+    heads, large = (ends - np.bincount(s, minlength=k)).tolist(), np.append(-1, np.where(small, -1, s)[:-1]).tolist()
+    for p in out:
+        c = large[p]
+        if c >= 0:
+            out[heads[c]] = p - 1
+            heads[c] += 1
+    tails, smaller = ends.tolist(), np.append(-1, np.where(small, s, -1)[:-1]).tolist()
+    for p in reversed(out):
+        c = smaller[p]
+        if c >= 0:
             tails[c] -= 1
-            out[tails[c]] = p
+            out[tails[c]] = p - 1
     out[0] = len(s) - 1
     return np.array(out, np.int64)
 
 
+def named(s: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """The leftmost smaller substrings' ranks, equal ones alike. Characters with their suffix's kind are compared, as
+    many at a time as fit an integer: of two that agree up to the end of one, the other's last is of the larger kind."""
+    size = np.diff(np.append(lms, len(s) - 1)) + 1
+    signs = 2 * s + small + 1
+    bits = int(2 * k + 1).bit_length()
+    wide, at = 62 // bits, 0
+    rank, live = np.zeros(len(lms), np.int64), np.arange(len(lms))
+    while len(live):
+        key = np.zeros(len(live), np.int64)
+        for j in range(at, at + wide):
+            more = j < size[live]
+            key = (key << bits) | np.where(more, signs[np.where(more, lms[live] + j, 0)], 0)
+        order = np.lexsort((key, rank[live])) if at else np.argsort(key, kind="stable")
+        live, key = live[order], key[order]
+        was = rank[live]
+        group = np.concatenate([[True], was[1:] != was[:-1]])
+        new = group.copy()
+        new[1:] |= key[1:] != key[:-1]
+        place = np.arange(len(live))
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        rank[live] = was + first - np.maximum.accumulate(np.where(group, place, 0))
+        at += wide
+        alone = new & np.append(new[1:], True)
+        live = live[~alone & (size[live] > at)]
+    return rank
+
+
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """s: integers under k, of which only the last is 0."""
     s = s.astype(np.int64)
@@ -137,41 +168,36 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     first = np.zeros(len(s), bool)
     first[1:] = small[1:] & ~small[:-1]
     lms = np.flatnonzero(first)
+    distinct, names = np.unique(named(s, small, k, lms), return_inverse=True)
+    order = np.argsort(names) if len(distinct) == len(lms) else suffix_array(names, len(distinct))
     induced = induced_by_bucket if k <= SCALAR_ALPHABET else induced_one_by_one
-    order = induced(s, small, k, lms)
-    order = order[first[order]]
-    # names of the substrings from one leftmost smaller position to the next
-    size = np.diff(np.append(lms, len(s) - 1)) + 1
-    rank = np.empty(len(s), np.int64)
-    rank[lms] = size
-    a, b = order[:-1], order[1:]
-    same = rank[a] == rank[b]
-    live, at = np.flatnonzero(same), 0
-    while len(live):
-        equal = s[a[live] + at] == s[b[live] + at]
-        same[live[~equal]] = False
-        at += 1
-        live = live[equal & (rank[a[live]] > at)]
-    names = np.concatenate([[0], np.cumsum(~same)])
-    if names[-1] + 1 < len(lms):
-        rank[order] = names
-        order = lms[suffix_array(rank[lms], int(names[-1]) + 1)]
-    return induced(s, small, k, order)
-
-
-def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """Permuted common prefixes: of each position, with the suffix before it in the array, up to most."""
-    phi = np.full(len(data), -1, np.int64)
+    return induced(s, small, k, lms[order])
+
+
+def common_prefixes(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """Permuted common prefixes: of each position, with the suffix before it in the array. Where the characters before
+    both agree it is one less than at the position before; only at the others texts are compared."""
+    n = len(data)
+    phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    padded = np.concatenate([data.astype(np.uint64) & np.uint64(0xFFFF), np.zeros(most + 4, np.uint64)])
+    place = np.arange(n)
+    anew = np.ones(n, bool)
+    anew[1:] = (phi[1:] < 1) | (data[:-1] != data[phi[1:] - 1])
+    padded = np.concatenate([data.astype(np.uint64), np.zeros(4, np.uint64)])
     four = padded[:-3] | (padded[1:-2] << np.uint64(16)) | (padded[2:-1] << np.uint64(32)) | (padded[3:] << np.uint64(48))
-    out = np.zeros(len(data), np.int64)
-    live = np.flatnonzero(phi >= 0)
-    for at in range(0, most, 4):
-        equal = four[live + at] == four[phi[live] + at]
-        live = live[equal]
-        out[live] = at + 4
-    return out  # in steps of four, which LENGTH is a multiple of
+    out = np.zeros(n, np.int64)
+    live, at = np.flatnonzero(anew & (phi >= 0)), 0
+    while len(live):
+        a, b = live + at, phi[live] + at
+        inside = np.maximum(a, b) < n
+        live, a, b = live[inside], a[inside], b[inside]
+        differ = four[a] ^ four[b]
+        ended = differ != 0
+        out[live[ended]] = at + (((differ & (~differ + np.uint64(1)))[ended] >= np.uint64([[1 << 16], [1 << 32], [1 << 48]])).sum(0))
+        out[live[~ended]] = at + 4
+        live, at = live[~ended], at + 4
+    since = np.maximum.accumulate(np.where(anew, place, 0))
+    return out[since] - (place - since)
 
 
 def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -181,7 +207,7 @@ def repeated_windows(segments: list[bytes], length: int = LENGTH) -> list[np.nda
     starts = np.cumsum(sizes + 1) - sizes - 1
     data[starts[1:] - 1] = 1
     sa = suffix_array(np.append(data, 0), 258)
-    prefix = common_prefixes(np.append(data, 0), sa, length)
+    prefix = common_prefixes(np.append(data, 0), sa)
     hit = prefix >= length
     before = np.full(len(sa), -1, np.int64)
     before[sa[1:]] = sa[:-1]
@@ -420,7 +446,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, n_removed, n_spans, kept_sha256, kept) of each text that occurs once and has repeated strings."""
-    parts = 2 * shuffle_parts(docs.sparkSession)
+    parts = parts_for(docs, BYTES_A_SHARD)
     cut = checkpointed(segments(texts_by_group(docs, parts), repeated_anchors(sent_anchors(docs, parts), parts), parts))
     # a name stands for one content: its shard is the content's
     own = cut.where("kind = 's'").groupBy("key").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"), F.min("anchor").alias("anchor"), F.min("data").alias("data"))
@@ -429,16 +455,19 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    found = repeats(docs).drop("kept")
     rows = checkpointed(rows_of(docs))
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
-    all_ = rows.join(copies, "key").join(found, "key", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    return all_.select(
-        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+    long = rows.where(F.col("n_bytes") >= LENGTH)
+    copies = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole_gone"))
+    info = checkpointed(repeats(docs).drop("kept").join(copies, "key", "full"))
+    gone = F.coalesce("whole_gone", F.lit(False))
+    known = long.join(info, "key", "left").select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
     )
+    none = F.lit(0).cast("long")
+    short = rows.where(F.col("n_bytes") < LENGTH).select("doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("whole").alias("kept_sha256"))
+    return known.union(short)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,14 @@ def test_suffix_array(limit, monkeypatch):
     for t in cases:
         s = np.append(np.frombuffer(t.encode(), np.uint8).astype(np.int64) + 2, 0)
         text = s.tolist()
-        assert S.suffix_array(s, 258).tolist() == sorted(range(len(s)), key=lambda i: text[i:])
+        sa = S.suffix_array(s, 258)
+        assert sa.tolist() == sorted(range(len(s)), key=lambda i: text[i:])
+        prefix = S.common_prefixes(s, sa)
+        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
+            n = 0
+            while text[a + n] == text[b + n]:
+                n += 1
+            assert prefix[b] == n
 
 
 def rows_for(rng, spark):
