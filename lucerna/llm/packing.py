@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, table
+from .common import checkpointed, shuffle_parts, slices, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
-#: Pieces of one length that one task numbers.
-RANKED_TOGETHER = 200_000
+#: Pieces of one length that one task numbers at least; beyond that, a quarter of a shuffle partition's share.
+RANKED_TOGETHER = 2_000
 
 
 def load_encoder(vocabulary: str, end: int):
@@ -106,13 +106,16 @@ def plan(counts: dict[int, int], capacity: int, max_docs: int, max_cost: int, ru
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int = 256, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
-    """Pieces with the sequence and the offset at which each stands."""
+def pack(pieces: DataFrame, capacity: int = 1024, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
+    """Pieces with the sequence and the offset at which each stands. Unless they are given, the capacities for documents
+    and attention cost are those of a sequence of `capacity` one-token documents and of one document: they cost no
+    sequence, and act by the residuals that choose between bins."""
     spark = pieces.sparkSession
     pieces = checkpointed(pieces)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    placed = spark.sparkContext.broadcast(plan(counts, capacity, max_docs, max_cost or capacity * capacity, rule))
-    salts = {k: -(-n // RANKED_TOGETHER) for k, n in counts.items() if n > RANKED_TOGETHER}
+    placed = spark.sparkContext.broadcast(plan(counts, capacity, max_docs or capacity, max_cost or capacity * capacity, rule))
+    most = max(RANKED_TOGETHER, sum(counts.values()) // (4 * shuffle_parts(spark)))  # so few salts in all: their sizes go to the driver
+    salts = {k: -(-n // most) for k, n in counts.items() if n > most}
     salted = F.lit(0)
     for length, n in salts.items():
         salted = F.when(F.col("length") == length, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)).cast("int")).otherwise(salted)
