@@ -51,7 +51,7 @@ def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder of spark.checkpoint.dir, read back: unlike a checkpoint's, its size
     estimate is the files' own, so that steps of a loop don't multiply the estimates of those before them."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX, checkpointed, mixed, pack_ints, pack_sorted, parts_for, slices, table, unpack_ints, unpack_sorted
+from .common import MIX, mixed, pack_ints, pack_sorted, parts_for, slices, table, unpack_ints, unpack_sorted, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes whose anchors a task finds at a time, and anchors that it sends at a time.
@@ -447,7 +447,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(key, n_removed, n_spans, kept_sha256, kept) of each text that occurs once and has repeated strings."""
     parts = parts_for(docs, BYTES_A_SHARD)
-    cut = checkpointed(segments(texts_by_group(docs, parts), repeated_anchors(sent_anchors(docs, parts), parts), parts))
+    cut = written(segments(texts_by_group(docs, parts), repeated_anchors(sent_anchors(docs, parts), parts), parts))
     # a name stands for one content: its shard is the content's
     own = cut.where("kind = 's'").groupBy("key").agg(F.sum("times").alias("times"), F.min("shard").alias("shard"), F.min("anchor").alias("anchor"), F.min("data").alias("data"))
     return cleaned(cut, searched(own))
@@ -455,10 +455,10 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
-    rows = checkpointed(rows_of(docs))
+    rows = written(rows_of(docs))
     long = rows.where(F.col("n_bytes") >= LENGTH)
     copies = long.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole_gone"))
-    info = checkpointed(repeats(docs).drop("kept").join(copies, "key", "full"))
+    info = written(repeats(docs).drop("kept").join(copies, "key", "full"))
     gone = F.coalesce("whole_gone", F.lit(False))
     known = long.join(info, "key", "left").select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
