@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, shuffle_parts, signed, slices, table, unpack_ints, unpack_sorted, words_of
+from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, parts_for, signed, slices, table, unpack_ints, unpack_sorted, words_of, written
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles that a task sorts at a time.
 SORTED_TOGETHER = 3_000_000
-#: Partitions of the hash space for each shuffle partition.
-SPREAD = 2
+#: Bytes of texts whose shingles one partition of the hash space holds.
+BYTES_A_PART = 8 << 20
 BLOCK = 512
 #: Matches of pairs that a task adds up at a time.
 MATCHES_HELD = 2_000_000
@@ -227,34 +227,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "xa", "xb", "na", "nb").mapInArrow(overlap, "a long, b long")
 
 
-def labelled(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The entries with the component of their class so far and its size, of those buckets that have more than one."""
+def labelled(entries: DataFrame, comp: DataFrame | None, round_: int = 0) -> DataFrame:
+    """The entries with the component of their class so far and its size, of those buckets that have more than one; with
+    the bucket's pivot, number of entries and first class by hash. What a bucket has in common is a written table, so
+    that large buckets can be split where it is joined."""
     if comp is None:
         e = entries.withColumn("comp", F.col("sig")).withColumn("weight", F.lit(1).cast("long"))
     else:
-        weight = comp.groupBy("component").agg(F.count("*").alias("w"))
+        weight = written(comp.groupBy("component").agg(F.count("*").alias("w")))
         comp = comp.join(weight, "component").select(F.col("node").alias("sig"), "component", "w")
         e = entries.join(comp, "sig", "left").withColumn("comp", F.coalesce("component", "sig")).withColumn("weight", F.coalesce("w", F.lit(1))).drop("component", "w")
-    mixed_ = e.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    return e.join(mixed_, "token")
+    e = checkpointed(e)
+    pivot = F.min(F.struct(F.xxhash64("sig", F.lit(round_)), "sig", "comp", "n")).alias("pivot")
+    buckets = e.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), pivot, F.count("*").alias("size"), F.min(F.xxhash64("sig")).alias("mate"))
+    return e.join(written(buckets.where("low < high").drop("low", "high")), "token")
 
 
-def pivot_pairs(entries: DataFrame, round_: int, percent: int) -> DataFrame:
+def pivot_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """In each bucket, the pairs of one member with those of other components, where the sizes fit."""
-    order = F.struct(F.xxhash64("sig", F.lit(round_)), "sig", "comp", "n")
-    pivot = entries.groupBy("token").agg(F.min(order).alias("p")).select("token", F.col("p.sig").alias("a"), F.col("p.comp").alias("pc"), F.col("p.n").alias("pn"))
-    fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    return entries.join(pivot, "token").where(fits & F.expr("comp <> pc")).select("a", F.col("sig").alias("b")).distinct()
+    fits = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    return entries.where(fits & F.expr("comp <> pivot.comp")).select(F.col("pivot.sig").alias("a"), F.col("sig").alias("b")).distinct()
 
 
 def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
     """Pairs that share enough prefix shingles; of different components, or all if within. Large buckets are cut into
     blocks by the hash of the class, and each two blocks meet in a row of their own. Buckets whose first class by hash
     is the same have much the same members: they meet in one task, which adds up their matches before they move."""
-    e = entries.withColumn("one", F.struct("weight", "comp", "sig", "n", "least"))
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / BLOCK)))
-    sizes = entries.groupBy("token").agg(F.pow(F.lit(2), halvings).cast("int").alias("blocks"), F.min(F.xxhash64("sig")).alias("mate"))
-    e = e.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / BLOCK)))
+    e = entries.withColumn("one", F.struct("weight", "comp", "sig", "n", "least")).withColumn("blocks", F.pow(F.lit(2), halvings).cast("int"))
+    e = e.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).repartition("token", "block")
     blocks = e.groupBy("token", "block", "blocks", "mate").agg(F.collect_list("one").alias("members"))
     first = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
     met = first.join(blocks.select("token", F.col("block").alias("other"), F.col("members").alias("others")), ["token", "other"])
@@ -311,7 +312,7 @@ def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
 
 def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(own, sets, entries): the class of each document, the classes that can have partners, and their prefix shingles."""
-    parts = SPREAD * shuffle_parts(docs.sparkSession)
+    parts = parts_for(docs, BYTES_A_PART)
     both = checkpointed(candidates(shared(postings(docs, size, parts), parts), percent))
     own, sets = both.where("least is null").select("doc_id", "n", "sig"), both.where("least is not null")
     return own, sets.select("sig", "n", "shingles"), sets.select("sig", "n", "least", F.explode("prefix").alias("token"))
@@ -328,12 +329,13 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     own, sets, entries = prepared(docs, size, percent)
     comp = None
     for r in range(PIVOT_ROUNDS + 1):
-        e = checkpointed(labelled(entries, comp))
-        pairs = pivot_pairs(e, r, percent) if r < PIVOT_ROUNDS else counted_pairs(e, percent, False)
+        e = labelled(entries, comp, r)
+        pairs = pivot_pairs(e, percent) if r < PIVOT_ROUNDS else counted_pairs(e, percent, False)
         comp = merged(comp, checkpointed(verified(pairs, sets, percent)))
     smallest = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
     root = smallest.join(comp.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("component", "sig"))
-    ids = root.groupBy("root").agg(F.min("first").alias("component_id"))
+    root = checkpointed(root.select("sig", "first", "root"))
+    ids = written(root.groupBy("root").agg(F.min("first").alias("component_id")))
     by_class = root.select("sig", "root").join(ids, "root").select("sig", "component_id")
     some = own.where("sig is not null").join(by_class, "sig")
     none = own.where("sig is null").withColumn("component_id", F.col("doc_id"))
