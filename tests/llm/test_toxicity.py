@@ -24,6 +24,7 @@ def test_gradients():
     texts, _ = corpus(6, 1)
     p = {k: v.astype(np.float64) for k, v in T.initial().items()}
     x = T.Inputs(texts)
+    x.odds[:] = np.random.default_rng(2).normal(0, 0.5, x.odds.shape)
     idx, _ = x.windows()
     y = np.arange(len(idx)) % 2.0
 
