@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_A_BATCH) -> Itera
             yield b.slice(i, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2 * ROWS_A_BATCH) -> Iterator[None]:
+    """While a step runs that is worked out at once, Arrow batches have few rows; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir or by setCheckpointDir; a folder of its own only in local mode, where
     driver and executors are one process."""

@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, parts_for, signed, slices, table, unpack_ints, unpack_sorted, words_of, written
+from .common import MIX, WordHashes, checkpointed, merged, mixed, pack_ints, pack_sorted, parts_for, signed, slices, small_batches, table, unpack_ints, unpack_sorted, words_of, written
 
 SHINGLE, PERCENT = 5, 75
 #: Shingles that a task sorts at a time.
-SORTED_TOGETHER = 3_000_000
+SORTED_TOGETHER = 1_500_000
 #: Bytes of texts whose shingles one partition of the hash space holds.
 BYTES_A_PART = 8 << 20
 BLOCK = 512
@@ -106,7 +106,7 @@ def postings(docs: DataFrame, size: int, parts: int) -> DataFrame:
                 yield packed(part, shingles=pack_sorted(h), owner=pack_ints(local), sigs=sigs[used].tobytes(), ns=pack_ints(ns[used]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sets, rows, held = WordHashes(), {}, [], 0
+        hashes, sets, rows, held = WordHashes(200_000), {}, [], 0
         for b in slices(batches):
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingle_set(text, hashes, size)
@@ -313,7 +313,8 @@ def counted_pairs(entries: DataFrame, percent: int, within: bool) -> DataFrame:
 def prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(own, sets, entries): the class of each document, the classes that can have partners, and their prefix shingles."""
     parts = parts_for(docs, BYTES_A_PART)
-    both = checkpointed(candidates(shared(postings(docs, size, parts), parts), percent))
+    with small_batches(docs.sparkSession):
+        both = checkpointed(candidates(shared(postings(docs, size, parts), parts), percent))
     own, sets = both.where("least is null").select("doc_id", "n", "sig"), both.where("least is not null")
     return own, sets.select("sig", "n", "shingles"), sets.select("sig", "n", "least", F.explode("prefix").alias("token"))
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, written
 
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 BLANK_RE = "[\\x20\\x09-\\x0D]"
@@ -127,7 +127,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, columns: list[str]) -> Dat
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     own = [c for c in columns if c not in counts]
     m = checkpointed(measured(docs.select(*dict.fromkeys([*own, "doc_id", "lang", "text"]))).select(*dict.fromkeys([*own, "doc_id", "lang"]), *counts, *(f"q_{k}" for k in GRID)))
-    return judged(m, checkpointed(certified_cutoffs(m, labels))).select(*own, *counts, "kept")
+    return judged(m, written(certified_cutoffs(m, labels))).select(*own, *counts, "kept")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
