@@ -1,13 +1,16 @@
 """Semantic models: tables, relationships and named measures; queries evaluate measures in a filter context.
 
-A query becomes one aggregation for each fact table: the dimensions that its groups and filters need are joined along
-active many-to-one relationships, so Catalyst prunes columns, pushes filters down and picks the joins. Facts are merged
-on their group keys, null-safe. Blank measures (nothing to aggregate) are null; rows in which all are blank go.
+A query becomes one aggregation for each fact table and set of group keys: the dimensions that its groups and filters
+need are joined along many-to-one relationships, so Catalyst prunes columns, pushes filters down and picks the joins.
+Joins are null-safe and compare text without case; fact rows without a dimension row fall out where it groups or
+filters. Parts are merged on their group keys, null-safe. A measure that a group key can't narrow (another fact's
+dimension, a removed or replaced filter) repeats its value over that key's values. Blank measures (nothing to aggregate)
+are null; rows in which all are blank go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -26,44 +29,110 @@ class Relationship:
 
 @dataclass(frozen=True)
 class Measure:
-    """An aggregate over a fact's columns, with filters of its own (CALCULATE) and columns whose filters it removes (ALL)."""
+    """An aggregate over a fact's columns. where: filters that replace those on their columns (CALCULATE), keep: filters
+    that stand beside them (KEEPFILTERS), ignores: columns whose filters go (ALL, REMOVEFILTERS), uses: a role."""
 
     fact: str
     aggregate: Callable[[Column | None], Column]
-    where: Column | None = None
+    where: Mapping[str, Column] = field(default_factory=dict)
+    keep: Mapping[str, Column] = field(default_factory=dict)
     ignores: frozenset[str] = frozenset()
     uses: str | None = None
 
 
+@dataclass(frozen=True)
+class Derived:
+    """A measure of measures, evaluated in each row."""
+
+    inputs: tuple[str, ...]
+    combine: Callable[..., Column]
+
+
 @dataclass(frozen=True)
 class Context:
-    """Predicates by the columns that they are on. A new filter on a column replaces the old one unless kept."""
+    """Predicates by the columns that they are on. A new filter on columns replaces the old one unless kept."""
 
-    filters: tuple[tuple[str, Column], ...] = ()
+    filters: tuple[tuple[tuple[str, ...], Column], ...] = ()
 
-    def calculate(self, column: str, predicate: Column, keep: bool = False) -> Context:
-        rest = self.filters if keep else tuple(f for f in self.filters if f[0] != column)
-        return replace(self, filters=(*rest, (column, predicate)))
+    def calculate(self, column: str | tuple[str, ...], predicate: Column, keep: bool = False) -> Context:
+        columns = (column,) if isinstance(column, str) else column
+        rest = self.filters if keep else tuple(f for f in self.filters if f[0] != columns)
+        return replace(self, filters=(*rest, (columns, predicate)))
 
     def remove(self, *columns: str) -> Context:
-        return replace(self, filters=tuple(f for f in self.filters if f[0] not in columns))
+        """Filters go whose columns are all among these."""
+        return replace(self, filters=tuple(f for f in self.filters if not set(f[0]) <= set(columns)))
+
+    def treat_as(self, columns: tuple[str, ...], rows: list[tuple], keep: bool = False) -> Context:
+        """TREATAS: the columns take the values of one of the rows; text without case, BLANK equals BLANK."""
+        fits = F.lit(False)
+        for row in rows:
+            one = F.lit(True)
+            for c, v in zip(columns, row, strict=True):
+                one = one & (F.lower(c).eqNullSafe(F.lit(v.lower())) if isinstance(v, str) else F.col(c).eqNullSafe(F.lit(v)))
+            fits = fits | one
+        return self.calculate(columns if len(columns) > 1 else columns[0], fits, keep)
+
+    def is_filtered(self, *columns: str) -> bool:
+        """ISFILTERED: a filter on one of the columns itself."""
+        return any(set(f[0]) & set(columns) for f in self.filters)
+
+
+@dataclass(frozen=True)
+class Key:
+    """A group key: `column`, `alias=column`, or `alias=column@role` for a dimension in one of its roles."""
+
+    alias: str
+    column: str
+    role: str | None = None
+
+    @classmethod
+    def of(cls, text: str) -> Key:
+        alias, _, rest = text.rpartition("=")
+        column, _, role = rest.partition("@")
+        return cls(alias or column, column, role or None)
+
+
+class Tables(Mapping):
+    """Tables that are opened when first asked for. owners: prefixes of column names by table."""
+
+    def __init__(self, names: list[str], read: Callable[[str], DataFrame], owners: dict[str, str] | None = None):
+        self.names, self.read, self.owners, self.opened = names, read, owners or {}, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.names:
+            raise KeyError(name)
+        if name not in self.opened:
+            self.opened[name] = self.read(name)
+        return self.opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.names)
+
+    def __len__(self) -> int:
+        return len(self.names)
 
 
 @dataclass
 class Model:
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     relationships: list[Relationship] = field(default_factory=list)
-    measures: dict[str, Measure] = field(default_factory=dict)
+    measures: dict[str, Measure | Derived] = field(default_factory=dict)
 
     def table_of(self, column: str) -> str:
+        for prefix, name in getattr(self.tables, "owners", {}).items():
+            if column.startswith(prefix) and column in self.tables[name].columns:
+                return name
         for name, df in self.tables.items():
             if column in df.columns:
                 return name
         raise KeyError(f"no table has {column}")
 
-    def path(self, fact: str, table: str, uses: str | None = None) -> list[Relationship]:
-        """The many-to-one steps from a fact to a table, shortest first."""
-        edges = [r for r in self.relationships if (r.active and not any(u.role == uses and uses and u.one == r.one and u.many == r.many for u in self.relationships)) or (uses and r.role == uses)]
+    def path(self, fact: str, table: str, uses: str | None = None) -> list[Relationship] | None:
+        """The many-to-one steps from a fact to a table, shortest first; None if they are not related. A role's
+        relationship takes the place of the active ones into the same table."""
+        ends = {r.one for r in self.relationships if uses and r.role == uses}
+        edges = [r for r in self.relationships if (uses and r.role == uses) or (r.active and r.one not in ends)]
         queue, seen = [(fact, [])], {fact}
         while queue:
             at, steps = queue.pop(0)
@@ -73,89 +142,211 @@ class Model:
                 if r.many == at and r.one not in seen:
                     seen.add(r.one)
                     queue.append((r.one, [*steps, r]))
-        raise ValueError(f"{table} is not related to {fact}")
-
-    def related(self, fact: str, columns: list[str], uses: str | None = None) -> DataFrame:
-        """The fact with the dimensions (RELATED) that the columns need; rows without a match keep BLANK there."""
-        df, joined = self.tables[fact], {fact}
-        for column in columns:
-            if column in df.columns:
+        return None
+
+    def reaches(self, fact: str, column: str, uses: str | None = None) -> bool:
+        return self.path(fact, self.table_of(column), uses) is not None
+
+    def expanded(self, table: str) -> frozenset[str]:
+        """The columns of a table and of all that it leads to, many to one."""
+        return frozenset(c for t in self.tables if self.path(table, t) is not None for c in self.tables[t].columns)
+
+    def all_except(self, table: str, *keep: str) -> frozenset[str]:
+        """ALLEXCEPT, as a measure's `ignores`."""
+        return self.expanded(table) - set(keep)
+
+    def cross_filtered(self, context: Context, table: str) -> bool:
+        """ISCROSSFILTERED: a filter on the table, or on one that narrows it."""
+        return any(self.path(table, self.table_of(c)) is not None for columns, _ in context.filters for c in columns)
+
+    def related(self, fact: str, columns: list[str | Key], uses: str | None = None, how: str = "left") -> DataFrame:
+        """The fact with the columns (RELATED) of its dimensions; keys in a role come under their alias."""
+        df, joined = self.tables[fact], {}
+        for key in (Key.of(c) if isinstance(c, str) else c for c in columns):
+            role = key.role or uses
+            prefix = f"__{key.role}__" if key.role else ""
+            if not prefix and key.column in df.columns:
                 continue
-            for r in self.path(fact, self.table_of(column), uses):
-                if r.one not in joined:
-                    joined.add(r.one)
-                    df = df.join(self.tables[r.one], df[r.many_key] == self.tables[r.one][r.one_key], "left")
+            steps = self.path(fact, self.table_of(key.column), role)
+            if steps is None:
+                raise ValueError(f"{key.column} is not related to {fact}")
+            for r in steps:
+                if (prefix, r.one) not in joined:
+                    one = self.tables[r.one]
+                    many_key = prefix + r.many_key if (prefix, r.many) in joined else r.many_key
+                    joined[prefix, r.one] = True
+                    text = dict(one.dtypes)[r.one_key] == "string"
+                    one = one.select(*(F.col(c).alias(prefix + c) for c in one.columns), F.col(r.one_key).alias("__to"))
+                    left, right = (F.lower(many_key), F.lower("__to")) if text else (F.col(many_key), F.col("__to"))
+                    df = df.join(one, left.eqNullSafe(right), how).drop("__to")
+            if prefix:
+                df = df.withColumn(key.alias, F.col(prefix + key.column))
         return df
 
-    def query(self, groups: list[str], measures: list[str], context: Context = Context(), extra: dict[str, Measure] | None = None) -> DataFrame:
+    def inputs(self, names: list[str], known: dict) -> list[str]:
+        """The measures with an aggregate that these need."""
+        out: dict[str, None] = {}
+        for n in names:
+            out |= dict.fromkeys(self.inputs(list(known[n].inputs), known) if isinstance(known[n], Derived) else [n])
+        return list(out)
+
+    def value(self, name: str, known: dict) -> Column:
+        x = known[name]
+        return x.combine(*(self.value(i, known) for i in x.inputs)) if isinstance(x, Derived) else F.col(name)
+
+    def spine(self, keys: list[Key], context: Context) -> DataFrame:
+        """The combinations of key values: those that exist in a table, each with each between tables."""
+        out, by_table = None, {}
+        for k in keys:
+            by_table.setdefault((self.table_of(k.column), k.role), []).append(k)
+        for (table, _), own in by_table.items():
+            df = self.tables[table]
+            for columns, predicate in context.filters:
+                if set(columns) <= set(df.columns):
+                    df = df.where(predicate)
+            df = df.select(*(F.col(k.column).alias(k.alias) for k in own)).distinct()
+            out = df if out is None else out.crossJoin(df)
+        return out
+
+    def query(self, groups: list[str], measures: list[str], context: Context = Context(), extra: dict[str, Measure | Derived] | None = None) -> DataFrame:
         """SUMMARIZECOLUMNS: groups, and the measures in the context narrowed to each group."""
-        known = {**self.measures, **(extra or {})}
+        known, keys = {**self.measures, **(extra or {})}, [Key.of(g) for g in groups]
+        asked = {k.column for k in keys} | {c for columns, _ in context.filters for c in columns}
+        base = self.inputs(measures, known)
         parts: dict[tuple, list[str]] = {}
-        for m in measures:
+        for m in base:
             x = known[m]
-            parts.setdefault((x.fact, x.ignores, x.uses), []).append(m)
-        out = None
-        for (fact, ignores, uses), names in parts.items():
-            keep = context.remove(*ignores)
-            keys = [g for g in groups if g not in ignores]
-            df = self.related(fact, [*keys, *(c for c, _ in keep.filters)], uses)
-            for _, predicate in keep.filters:
+            parts.setdefault((x.fact, (x.ignores | set(x.where)) & asked, x.uses), []).append(m)
+        whole, short = None, []
+        for (fact, dropped, uses), names in parts.items():
+            own = [k for k in keys if k.column not in dropped and self.reaches(fact, k.column, k.role or uses)]
+            filters = [(c, p) for c, p in context.remove(*dropped).filters if all(self.reaches(fact, x, uses) for x in c)]
+            more = [c for n in names for c in (*known[n].where, *known[n].keep)]
+            df = self.related(fact, [*own, *(x for c, _ in filters for x in c), *more], uses, "inner")
+            for _, predicate in filters:
                 df = df.where(predicate)
-            part = df.groupBy(*keys).agg(*(known[m].aggregate(known[m].where).alias(m) for m in names))
-            out = part if out is None else merged(out, part, keys)
-        return out.where(F.coalesce(*(F.col(m).cast("string") for m in measures)).isNotNull()).select(*groups, *measures)
-
-
-def merged(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Outer merge on null-safe keys; without keys, the one row of totals beside every row."""
+            part = df.groupBy(*(k.alias if k.role else F.col(k.column).alias(k.alias) for k in own)).agg(*(known[m].aggregate(own_filter(known[m])).alias(m) for m in names))
+            if len(own) < len(keys):
+                short.append(([k.alias for k in own], part))
+            else:
+                whole = part if whole is None else merged(whole, part, [k.alias for k in keys], "full")
+        aliases = [k.alias for k in keys]
+        out = whole
+        if short:
+            out = self.spine(keys, context)
+            if whole is not None:
+                out = merged(out, whole, aliases, "left")
+            for own, part in short:
+                out = merged(out, part, own, "left")
+        out = out.select(*aliases, *(self.value(m, known).alias(m) for m in measures))
+        return out.where(F.coalesce(*(F.col(m).cast("string") for m in measures)).isNotNull())
+
+    def iterated(self, outer: list[str], inner: list[str], measure: str, how: Callable[[Column], Column], name: str, context: Context = Context(), extra: dict | None = None) -> DataFrame:
+        """SUMX, AVERAGEX, MEDIANX, MINX, MAXX, COUNTX over the values of `inner`: the measure of each, then `how`."""
+        df = self.query([*outer, *inner], [measure], context, extra)
+        return df.groupBy(*(Key.of(g).alias for g in outer)).agg(how(F.col(measure)).alias(name))
+
+    def edge_nonblank(self, groups: list[str], column: str, measure: str, name: str, last: bool = True, context: Context = Context()) -> DataFrame:
+        """LASTNONBLANK, FIRSTNONBLANK: the last or first value of the column at which the measure is not blank."""
+        key = Key.of(column)
+        df = self.query([*groups, column], [measure], context).where(F.col(measure).isNotNull())
+        return df.groupBy(*(Key.of(g).alias for g in groups)).agg((F.max if last else F.min)(key.alias).alias(name))
+
+
+def own_filter(measure: Measure) -> Column | None:
+    out = None
+    for p in (*measure.where.values(), *measure.keep.values()):
+        out = p if out is None else out & p
+    return out
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Merge on null-safe keys; without keys, the one row of totals beside every row."""
     if not keys:
-        return left.crossJoin(F.broadcast(right)) if len(right.columns) else left
+        return left.crossJoin(F.broadcast(right))  # one row
     r = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
     on = None
     for k in keys:
         step = left[k].eqNullSafe(r[f"__{k}"])
         on = step if on is None else on & step
-    whole = [c for c in left.columns if c not in keys]
-    both = left.join(r, on, "full" if len(keys) == len([c for c in left.columns if c not in whole]) else "left")
-    return both.select(*(F.coalesce(k, f"__{k}").alias(k) for k in keys), *whole, *(c for c in right.columns if c not in keys))
+    rest = [c for c in left.columns if c not in keys]
+    return left.join(r, on, how).select(*(F.coalesce(k, f"__{k}").alias(k) for k in keys), *rest, *(c for c in right.columns if c not in keys))
 
 
 def _if(where: Column | None, x: Column) -> Column:
     return x if where is None else F.when(where, x)
 
 
+def _of(column: str | Column) -> Column:
+    return F.col(column) if isinstance(column, str) else column
+
+
+def _none(x: Column) -> Column:
+    return F.nullif(x, F.lit(0))
+
+
+def _folded(column: str | Column) -> Column:
+    return F.lower(_of(column).cast("string"))
+
+
 def total(fact: str, column: str | Column, **more) -> Measure:
-    x = F.col(column) if isinstance(column, str) else column
-    return Measure(fact, lambda w: F.sum(_if(w, x)), **more)
+    """SUM, and SUMX of an expression over the fact's rows."""
+    return Measure(fact, lambda w: F.sum(_if(w, _of(column))), **more)
 
 
-def average(fact: str, column: str, **more) -> Measure:
-    return Measure(fact, lambda w: F.avg(_if(w, F.col(column))), **more)
+def average(fact: str, column: str | Column, **more) -> Measure:
+    return Measure(fact, lambda w: F.avg(_if(w, _of(column))), **more)
 
 
-def smallest(fact: str, column: str, **more) -> Measure:
-    return Measure(fact, lambda w: F.min(_if(w, F.col(column))), **more)
+def smallest(fact: str, column: str | Column, **more) -> Measure:
+    return Measure(fact, lambda w: F.min(_if(w, _of(column))), **more)
 
 
-def largest(fact: str, column: str, **more) -> Measure:
-    return Measure(fact, lambda w: F.max(_if(w, F.col(column))), **more)
+def largest(fact: str, column: str | Column, **more) -> Measure:
+    return Measure(fact, lambda w: F.max(_if(w, _of(column))), **more)
 
 
-def median(fact: str, column: str, **more) -> Measure:
-    return Measure(fact, lambda w: F.median(_if(w, F.col(column))), **more)
+def median(fact: str, column: str | Column, **more) -> Measure:
+    return Measure(fact, lambda w: F.median(_if(w, _of(column))), **more)
 
 
 def count_rows(fact: str, **more) -> Measure:
     """No rows: BLANK."""
-    return Measure(fact, lambda w: F.nullif(F.count(_if(w, F.lit(1))), F.lit(0)), **more)
+    return Measure(fact, lambda w: _none(F.count(_if(w, F.lit(1)))), **more)
+
+
+def count(fact: str, column: str | Column, **more) -> Measure:
+    """COUNT, COUNTA, COUNTX: values that are not BLANK; none: BLANK."""
+    return Measure(fact, lambda w: _none(F.count(_if(w, _of(column)))), **more)
+
+
+def count_blank(fact: str, column: str | Column, **more) -> Measure:
+    """BLANK and empty texts."""
+    return Measure(fact, lambda w: _none(F.count_if(_if(w, F.coalesce(_of(column).cast("string"), F.lit("")) == ""))), **more)
+
+
+def distinct_count(fact: str, column: str | Column, blank: bool = True, **more) -> Measure:
+    """BLANK counts as one value if blank (DISTINCTCOUNT, else DISTINCTCOUNTNOBLANK); text without case; none: BLANK."""
+    blanks = lambda w: F.coalesce(F.max(_if(w, _of(column).isNull().cast("int"))), F.lit(0)) if blank else F.lit(0)
+    return Measure(fact, lambda w: _none(F.countDistinct(_if(w, _folded(column))) + blanks(w)), **more)
+
+
+def is_empty(fact: str, **more) -> Measure:
+    return Measure(fact, lambda w: F.count(_if(w, F.lit(1))) == 0, **more)
+
+
+def has_one_value(fact: str, column: str, **more) -> Measure:
+    """HASONEVALUE: BLANK counts as a value."""
+    n = lambda w: F.countDistinct(_if(w, _folded(column))) + F.coalesce(F.max(_if(w, F.col(column).isNull().cast("int"))), F.lit(0))
+    return Measure(fact, lambda w: n(w) == 1, **more)
 
 
-def distinct_count(fact: str, column: str, **more) -> Measure:
-    """BLANK counts as one value; text without case; none: BLANK."""
-    x = lambda: F.lower(F.col(column).cast("string"))
-    return Measure(fact, lambda w: F.nullif(F.countDistinct(_if(w, x())) + F.max(_if(w, x().isNull().cast("int"))), F.lit(0)), **more)
+def selected_value(fact: str, column: str, alternative=None, **more) -> Measure:
+    """SELECTEDVALUE: the one visible value, else the alternative."""
+    one = has_one_value(fact, column)
+    return Measure(fact, lambda w: F.when(one.aggregate(w), F.min(_if(w, F.col(column)))).otherwise(F.lit(alternative)), **more)
 
 
 def ratio(fact: str, top: Column, bottom: Column, **more) -> Measure:
     """DIVIDE of two sums."""
-    return Measure(fact, lambda w: F.try_divide(F.sum(_if(w, top)), F.nullif(F.sum(_if(w, bottom)), F.lit(0))), **more)
+    return Measure(fact, lambda w: F.try_divide(F.sum(_if(w, top)), _none(F.sum(_if(w, bottom)))), **more)

@@ -1,11 +1,16 @@
-"""Time intelligence over a table of periods: facts are summed by day or month first, then windows or shifted joins."""
+"""Time intelligence over a column of dates: facts are summed by day or month first, then windows or shifted joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = {"year": ["y"], "quarter": ["y", "q"], "month": ["y", "m"]}
+MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
+def by_day(df: DataFrame, date: str, value: str, name: str, kind: str = "decimal(38,4)") -> DataFrame:
+    return df.where(F.col(date).isNotNull()).groupBy(F.col(date).cast("date").alias("day")).agg(F.sum(F.col(value).cast("decimal(18,4)")).cast(kind).alias(name))
 
 
 def by_month(df: DataFrame, date: str, value: str, name: str, kind: str = "decimal(38,4)") -> DataFrame:
@@ -19,17 +24,42 @@ def to_date(df: DataFrame, date: str, value: str, name: str, unit: str = "year")
     return df.withColumn(name, F.sum(value).over(w))
 
 
-def shifted(df: DataFrame, month: str, value: str, name: str, months: int) -> DataFrame:
-    """DATEADD, SAMEPERIODLASTYEAR, PREVIOUSMONTH, NEXTMONTH, PARALLELPERIOD on months: the value that many months away."""
-    there = df.select(F.add_months(month, -months).alias("__at"), F.col(value).alias(name))
-    return df.join(there, F.col(month) == F.col("__at"), "left").drop("__at")
+def moved(d: Column, n: int, unit: str) -> Column:
+    return F.date_add(d, n) if unit == "day" else F.add_months(d, n * MONTHS[unit])
+
+
+def shifted(df: DataFrame, date: str, value: str, name: str, n: int, unit: str = "month") -> DataFrame:
+    """DATEADD, SAMEPERIODLASTYEAR on a column of days or months: the value n units away. A day that the other month
+    lacks falls on its last day, where values add up."""
+    there = df.groupBy(moved(F.col(date), -n, unit).alias("__at")).agg(F.sum(value).alias(name))
+    return df.join(there, F.col(date) == F.col("__at"), "left").drop("__at")
+
+
+def whole_period(df: DataFrame, date: str, value: str, name: str, n: int, unit: str) -> DataFrame:
+    """PARALLELPERIOD, PREVIOUSDAY to PREVIOUSYEAR (-1), NEXTDAY to NEXTYEAR (1): the total of the whole unit that lies
+    n units from the row's own."""
+    start = F.col(date) if unit == "day" else F.trunc(date, unit)
+    sums = df.groupBy(start.alias("__of")).agg(F.sum(value).alias(name))
+    return df.join(sums, moved(start, n, unit) == F.col("__of"), "left").drop("__of")
 
 
-def in_period(df: DataFrame, month: str, value: str, name: str, months: int) -> DataFrame:
-    """DATESINPERIOD: total of the months that end here, existing ones only. Each month goes to the few that hold it."""
-    spread = df.select(F.explode(F.sequence(F.lit(0), F.lit(months - 1))).alias("k"), month, value)
-    sums = spread.groupBy(F.add_months(month, F.col("k")).alias("__at")).agg(F.sum(value).alias(name))
-    return df.join(sums, F.col(month) == F.col("__at"), "left").drop("__at")
+def edges(df: DataFrame, date: str, unit: str, groups: tuple[str, ...] = ()) -> DataFrame:
+    """FIRSTDATE, LASTDATE of the visible dates, and the first and last existing date of their units (STARTOF..., ENDOF...)."""
+    seen = df.groupBy(*groups).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    of_unit = df.groupBy(F.trunc(date, unit).alias("__u")).agg(F.min(date).alias("start_of"), F.max(date).alias("end_of"))
+    a, b = of_unit.select(F.col("__u").alias("__a"), "start_of"), of_unit.select(F.col("__u").alias("__b"), "end_of")
+    return seen.join(a, F.trunc("first_date", unit) == F.col("__a"), "left").join(b, F.trunc("last_date", unit) == F.col("__b"), "left").drop("__a", "__b")
+
+
+def in_period(df: DataFrame, date: str, value: str, name: str, n: int, unit: str = "month") -> DataFrame:
+    """DATESINPERIOD: total of the n units that end here, or begin here if n is below 0; existing dates only. Each date
+    goes to the few that hold it."""
+    steps = F.sequence(F.lit(0), F.lit(abs(n) - 1)) if n else F.array().cast("array<int>")
+    spread = df.select(F.explode(steps).alias("k"), date, value)
+    k = F.col("k") * (1 if n > 0 else -1)
+    at = F.date_add(F.col(date), k) if unit == "day" else F.add_months(F.col(date), k * MONTHS[unit])
+    sums = spread.groupBy(at.alias("__at")).agg(F.sum(value).alias(name))
+    return df.join(sums, F.col(date) == F.col("__at"), "left").drop("__at")
 
 
 def between(df: DataFrame, date: str, start: str | None, end: str | None) -> DataFrame:
@@ -37,3 +67,18 @@ def between(df: DataFrame, date: str, start: str | None, end: str | None) -> Dat
     if start is not None:
         df = df.where(F.col(date) >= F.lit(start).cast("timestamp_ntz"))
     return df if end is None else df.where(F.col(date) < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz"))
+
+
+def buckets(df: DataFrame, date: str, value: str, name: str, start: str, end: str, unit: str) -> DataFrame:
+    """A row for each calendar unit of a period, clipped to it, empty ones too (BLANK)."""
+    step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "quarter": "INTERVAL 3 MONTH", "year": "INTERVAL 1 YEAR"}[unit]
+    own = lambda d: F.to_date(F.date_trunc(unit, d))
+    spine = df.sparkSession.range(1).select(F.explode(F.sequence(own(F.lit(start).cast("date")), own(F.lit(end).cast("date")), F.expr(step))).alias("bucket"))
+    sums = between(df, date, start, end).groupBy(own(F.col(date)).alias("__b")).agg(F.sum(value).alias(name))
+    return spine.join(sums, F.col("bucket") == F.col("__b"), "left").drop("__b")
+
+
+def year_months(start: str, end: str) -> list[tuple[int, int]]:
+    """The months that a range touches, as pairs for treat_as."""
+    a, b = (int(x[:4]) * 12 + int(x[5:7]) - 1 for x in (start, end))
+    return [(m // 12, m % 12 + 1) for m in range(a, b + 1)]
