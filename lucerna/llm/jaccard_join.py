@@ -352,8 +352,13 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a 64-bit hash of doc_id and text, so null and repeated ids with different texts are
     documents of their own."""
     rows = docs.withColumn("__key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    of_key = joined(rows.select(F.col("__key").alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    of_row = joined(rows.select(F.col("__key").alias("doc_id"), "text"))
+    of_key = written(of_row.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("m")
-    first = rows.select("__key", "doc_id").distinct().join(of_key, "__key").groupBy("component_id").agg(best).select(F.col("m.__key").alias("__key"))
+    first = written(rows.select("__key", "doc_id").distinct().join(of_key, "__key").groupBy("component_id").agg(best).select(F.col("m.__key").alias("__key")))
+    # The keys that go, and those that stay and are repeated, are few as a rule: whole texts move only where they are many.
+    gone = written(of_key.join(first, "__key", "left_anti").select("__key"))
+    repeated = written(of_key.where("rows > 1").join(first, "__key", "left_semi").select("__key"))
+    once = rows.join(gone, "__key", "left_anti").join(repeated, "__key", "left_anti").select(*docs.columns)
     w = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns)))
-    return rows.join(first, "__key", "left_semi").withColumn("__row", w).where(F.expr("__row = 1")).select(*docs.columns)
+    return once.union(rows.join(repeated, "__key", "left_semi").withColumn("__row", w).where(F.expr("__row = 1")).select(*docs.columns))
