@@ -369,7 +369,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     model = spark.sparkContext.broadcast(fitted(*sample(docs, labels, per_class)))  # of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 1024):
             if b.num_rows:
                 s = scores_of(model.value, b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
