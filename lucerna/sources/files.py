@@ -52,7 +52,7 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = files.select("path", F.posexplode(F.split(F.concat(F.lit("\n"), "value"), r"\n(?=#{1,6} )")).alias("section", "part"))
     heading = F.regexp_extract("part", r"^\n?#{1,6} ([^\n]*)", 1)
-    return parts.select("path", "section", F.trim(heading).alias("heading"), F.trim(F.regexp_replace("part", r"^\n?#{1,6} [^\n]*", "")).alias("text"))
+    return parts.select("path", "section", F.trim(heading).alias("heading"), F.regexp_replace(F.regexp_replace("part", r"^\n?#{1,6} [^\n]*", ""), r"^\s+|\s+$", "").alias("text"))
 
 
 def fixed_rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
