@@ -119,18 +119,25 @@ def diverse(found: DataFrame, query: str, text: str, key: str, k: int, penalty:
     return found.groupBy(query).applyInPandas(choose, schema)
 
 
+def packed(text: str, limit: int) -> list[str]:
+    """Words, in chunks of at most limit characters with the blanks between."""
+    out, now, size = [], [], -1
+    for w in text.split():
+        if now and size + 1 + len(w) > limit:
+            out.append(" ".join(now))
+            now, size = [], -1
+        now.append(w)
+        size += 1 + len(w)
+    return [*out, " ".join(now)] if now else out
+
+
 def chunks(docs: DataFrame, doc: str, text: str = "text", limit: int = 800) -> DataFrame:
     """(doc, chunk, text, chunk_id): words packed greedily up to a number of characters; a longer word is a chunk of its
     own. The id is a hash of document and place. Null and empty texts have no chunks."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
-    def step(acc: Column, w: Column) -> Column:
-        fits = F.length(acc["now"]) + 1 + F.length(w) <= limit
-        first = acc["now"] == ""
-        done = F.when(first | fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        return F.struct(done.alias("done"), F.when(first, w).when(fits, F.concat(acc["now"], F.lit(" "), w)).otherwise(w).alias("now"))
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: packed(t or "", limit))
 
-    parts = F.aggregate(words, empty, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
-    out = docs.select(F.col(doc), F.posexplode(parts).alias("chunk", "text"))
+    out = docs.select(F.col(doc), F.posexplode(parts(text)).alias("chunk", "text"))
     return out.withColumn("chunk_id", F.sha2(F.concat_ws("/", F.col(doc).cast("string"), F.col("chunk").cast("string")), 256))
