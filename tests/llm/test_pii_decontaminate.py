@@ -1,6 +1,9 @@
+import hashlib
+import hmac
 import re
 from collections import Counter
 
+import regex
 from pyspark.sql import functions as F
 
 from lucerna.llm import decontaminate, pii
@@ -37,6 +40,59 @@ def test_surrogates(spark):
     assert pii.with_surrogates(docs.limit(0)).count() == 0
 
 
+def test_persons_by_parts(spark):
+    """Titled, untitled and partial mentions of one person; a title without gender; words of other texts stay."""
+    texts = [
+        "Mr. John Smith came. John Smith left. Mr. Smith paid. Smith slept, MR. SMITH too.",
+        "Dr. Jane Roe saw Mrs. Jane Roe; Prof. Li Wang. Blacksmith Smithson.",
+        "John Smith is named by no title here.",
+    ]
+    got = [r["text"] for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Mr\. (\S+) (\w+) came\. (\S+) (\w+) left\. Mr\. (\w+) paid\. (\w+) slept, MR\. (\w+) too\.", got[0])
+    assert m and m[1] == m[3] in pii.NAMES["m", "latin"] and m[2] == m[4] == m[5] == m[6] == m[7].capitalize() != "Smith" and m[7].isupper()
+    m = re.fullmatch(r"Dr\. (\S+ \w+) saw Mrs\. (\S+ \w+); Prof\. (\S+) (\w+)\. Blacksmith Smithson\.", got[1])
+    assert m and m[1] == m[2] != "Jane Roe" and m[1].split()[0] in pii.NAMES["f", "latin"] and m[3] in pii.NAMES["n", "latin"] and m[4] != "Wang"
+    assert got[2] == texts[2]
+
+
+def test_numbers_and_addresses_of_other_forms(spark):
+    text = "+49 30 1234567 or +49301234567, 2001:db8::8a2e:370:7334, IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not DE88370400440532013000; std::abs 12:34:56 10.0.0.1"
+    got = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    m = re.fullmatch(r"(\+49 \d\d \d{7}) or (\+49\d{9}), ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4}), IBAN (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), not DE88370400440532013000; std::abs 12:34:56 ([\d.]+)", got["text"])
+    assert m and m[1].replace(" ", "") == m[2] != "+49301234567" and m[3] not in text and m[4].replace(" ", "") == m[5] not in text
+    assert int("".join(str(int(c, 36)) for c in m[5][4:] + m[5][:4])) % 97 == 1
+    assert (got["n_entities"], got["n_iban"], got["n_ipv6"], got["n_phone"]) == (6, 2, 1, 2)
+    drawn = hmac.new(b"k", b"ip\x1f10.0.0.1\x1f0\x1f0", hashlib.sha512).digest()
+    assert m[6] == ".".join(str(b % 254 + 1) for b in drawn[:4])
+
+
+def test_replacement_against_plain_loops(spark):
+    """What stands between entities stays; one surface has one surrogate everywhere, and no two norms share one."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows.append((-1, "Mr. John Smith wrote to ann@mail.example.com. " * 4000))
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string"), "k", counted=False).collect()}
+    put = {}
+    for key, text in rows:
+        pattern = pii.NAMED_PATTERN if regex.search(pii.KINDS["person"], text or "") else pii.PATTERN
+        at, rest = 0, got[key]
+        spans = [m.span() for m in regex.finditer(pattern, text or "")]
+        for k, (low, high) in enumerate(spans):
+            between = text[at:low]
+            assert rest.startswith(between)
+            rest, at = rest[len(between) :], high
+            follows = text[high : spans[k + 1][0]] if k + 1 < len(spans) else text[high:]
+            end = rest.index(follows) if follows else len(rest)
+            while follows and k + 1 == len(spans) and not end + len(follows) == len(rest):
+                end = rest.index(follows, end + 1)
+            assert put.setdefault(text[low:high], rest[:end]) == rest[:end]
+            rest = rest[end:]
+        assert rest == (text or "")[at:] or got[key] is text is None
+    changed = {a: b for a, b in put.items() if a != b}
+    low = {(b.lower() if "@" in b else b) for b in changed.values()}
+    assert len(changed) > 10 and len(low) == len({(a.lower() if "@" in a else a) for a in changed})
+    assert not {a for a in changed if "@" in a or a[0].isdigit()} & set(changed.values())
+
+
 def test_distinct_when_space_is_small(spark):
     """Nine of ten two-digit secrets are in use: draws collide, and all cores differ still."""
     e = spark.createDataFrame([("secret", f"{i:02d}") for i in range(60)], "kind string, norm string")
