@@ -5,7 +5,8 @@ need are joined along many-to-one relationships, so Catalyst prunes columns, pus
 Joins are null-safe and compare text without case; fact rows without a dimension row fall out where it groups or
 filters. Parts are merged on their group keys, null-safe. A measure that a group key can't narrow (another fact's
 dimension, a removed or replaced filter) repeats its value over that key's values. Blank measures (nothing to aggregate)
-are null; rows in which all are blank go.
+are null; rows in which all are blank go. A relationship of both directions lets a filter on its many side narrow its one
+side, by semi joins on keys; group keys go from many to one only.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ class Relationship:
     one_key: str
     active: bool = True
     role: str | None = None
+    both: bool = False
 
 
 @dataclass(frozen=True)
@@ -128,11 +130,32 @@ class Model:
                 return name
         raise KeyError(f"no table has {column}")
 
+    def edges(self, uses: str | None = None) -> list[Relationship]:
+        """The relationships that act; a role's take the place of the active ones into the same table."""
+        ends = {r.one for r in self.relationships if uses and r.role == uses}
+        return [r for r in self.relationships if (uses and r.role == uses) or (r.active and r.one not in ends)]
+
+    def narrowed(self, table: str, filters: list[tuple[tuple[str, ...], Column]], uses: str | None = None, seen: frozenset[str] = frozenset()) -> DataFrame | None:
+        """The table's rows that filters on it and on the tables around it leave; None if no filter gets here. A table
+        is narrowed by all its own neighbours before it narrows the next one, and no way passes a table twice. Filters
+        on columns of several tables are left out."""
+        df, hit, seen = self.tables[table], False, seen | {table}
+        for columns, predicate in filters:
+            if all(self.table_of(c) == table for c in columns):
+                df, hit = df.where(predicate), True
+        for r in self.edges(uses):
+            ways = [(r.many, r.many_key, r.one, r.one_key)] + ([(r.one, r.one_key, r.many, r.many_key)] if r.both else [])
+            for here, own, there, key in ways:
+                rows = self.narrowed(there, filters, uses, seen) if here == table and there not in seen else None
+                if rows is not None:
+                    text = dict(rows.dtypes)[key] == "string"
+                    df, hit = df.join(rows.select(F.col(key).alias("__to")), equal_keys(own, "__to", text), "left_semi"), True
+        return df if hit else None
+
     def path(self, fact: str, table: str, uses: str | None = None) -> list[Relationship] | None:
         """The many-to-one steps from a fact to a table, shortest first; None if they are not related. A role's
         relationship takes the place of the active ones into the same table."""
-        ends = {r.one for r in self.relationships if uses and r.role == uses}
-        edges = [r for r in self.relationships if (uses and r.role == uses) or (r.active and r.one not in ends)]
+        edges = self.edges(uses)
         queue, seen = [(fact, [])], {fact}
         while queue:
             at, steps = queue.pop(0)
@@ -159,9 +182,10 @@ class Model:
         """ISCROSSFILTERED: a filter on the table, or on one that narrows it."""
         return any(self.path(table, self.table_of(c)) is not None for columns, _ in context.filters for c in columns)
 
-    def related(self, fact: str, columns: list[str | Key], uses: str | None = None, how: str = "left") -> DataFrame:
-        """The fact with the columns (RELATED) of its dimensions; keys in a role come under their alias."""
-        df, joined = self.tables[fact], {}
+    def related(self, fact: str, columns: list[str | Key], uses: str | None = None, how: str = "left", rows: DataFrame | None = None) -> DataFrame:
+        """The fact, or these rows of it, with the columns (RELATED) of its dimensions; keys in a role come under their
+        alias."""
+        df, joined = self.tables[fact] if rows is None else rows, {}
         for key in (Key.of(c) if isinstance(c, str) else c for c in columns):
             role = key.role or uses
             prefix = f"__{key.role}__" if key.role else ""
@@ -177,8 +201,7 @@ class Model:
                     joined[prefix, r.one] = True
                     text = dict(one.dtypes)[r.one_key] == "string"
                     one = one.select(*(F.col(c).alias(prefix + c) for c in one.columns), F.col(r.one_key).alias("__to"))
-                    left, right = (F.lower(many_key), F.lower("__to")) if text else (F.col(many_key), F.col("__to"))
-                    df = df.join(one, left.eqNullSafe(right), how).drop("__to")
+                    df = df.join(one, equal_keys(many_key, "__to", text), how).drop("__to")
             if prefix:
                 df = df.withColumn(key.alias, F.col(prefix + key.column))
         return df
@@ -222,7 +245,9 @@ class Model:
             own = [k for k in keys if k.column not in dropped and self.reaches(fact, k.column, k.role or uses)]
             filters = [(c, p) for c, p in context.remove(*dropped).filters if all(self.reaches(fact, x, uses) for x in c)]
             more = [c for n in names for c in (*known[n].where, *known[n].keep)]
-            df = self.related(fact, [*own, *(x for c, _ in filters for x in c), *more], uses, "inner")
+            left = context.remove(*dropped).filters
+            far = len(filters) < len(left) and any(r.both for r in self.edges(uses))
+            df = self.related(fact, [*own, *(x for c, _ in filters for x in c), *more], uses, "inner", self.narrowed(fact, list(left), uses) if far else None)
             for _, predicate in filters:
                 df = df.where(predicate)
             part = df.groupBy(*(k.alias if k.role else F.col(k.column).alias(k.alias) for k in own)).agg(*(known[m].aggregate(own_filter(known[m])).alias(m) for m in names))
@@ -253,6 +278,11 @@ class Model:
         return df.groupBy(*(Key.of(g).alias for g in groups)).agg((F.max if last else F.min)(key.alias).alias(name))
 
 
+def equal_keys(left: str, right: str, text: bool) -> Column:
+    """Null equals null, and text is compared without case."""
+    return F.lower(left).eqNullSafe(F.lower(right)) if text else F.col(left).eqNullSafe(F.col(right))
+
+
 def own_filter(measure: Measure) -> Column | None:
     out = None
     for p in (*measure.where.values(), *measure.keep.values()):

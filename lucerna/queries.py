@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,15 @@ def two_facts(spark, d):
     return model(spark, d).query(["c_mktsegment"], ["revenue", "orders_placed", "buyers"])
 
 
+def both_directions(spark, d):
+    """Filters on order lines and their parts narrow orders and customers: the same line has to meet both."""
+    m = model(spark, d)
+    m.relationships[:2] = [replace(r, both=True) for r in m.relationships[:2]]
+    c = M.Context().calculate("l_returnflag", F.col("l_returnflag") == "R").calculate("p_brand", F.col("p_brand").isin("Brand#1", "Brand#12", "Brand#13"))
+    extra = {"customers": M.count_rows("customer")}
+    return m.query(["c_mktsegment"], ["customers", "orders_placed", "order_value", "lines"], c, extra)
+
+
 def removed_filter(spark, d):
     c = M.Context().calculate("l_returnflag", F.col("l_returnflag") == "R")
     return model(spark, d).query(["p_brand"], ["revenue", "all_revenue"], c)
@@ -403,7 +414,7 @@ def _plain(query):
 
 
 QUERIES = {f.__name__: _plain(f) for f in (
-    scalar_measures, grouped_measures, filtered_context, replaced_filter, two_facts, removed_filter, data_until, role_playing, top_with_ties, ranked_groups, share_of_total, running_year,
+    scalar_measures, grouped_measures, filtered_context, replaced_filter, two_facts, both_directions, removed_filter, data_until, role_playing, top_with_ties, ranked_groups, share_of_total, running_year,
     last_year, rolling_quarter, period_buckets, calendar, except_and_intersect, distinct_values, domain_cardinality, looked_up, text_scalars, math_scalars, date_scalars, detail,
     lexical_retrieval, event_counts, over_limit, both_roles, measure_filter_replaces, measure_filter_over_groups, kept_filter, measure_order, unrelated_dimension, measure_of_measures, all_except,
     year_month_pairs, iterated, counts, inspected, edge_values, summarized, related_rows, generated, combined_tables, distinct_tuples, up_and_down, looked_up_pair, domain_values, logic_scalars, number_scalars,
@@ -422,6 +433,13 @@ ORACLE_SQL = {
     "filtered_context": f"SELECT n_name, {_N} AS net_revenue, nullif(count(*) FILTER (WHERE l_returnflag = 'R'), 0) AS returned_lines FROM {_LI} WHERE lower(c_mktsegment) IN ('building', 'machinery') AND l_shipdate >= TIMESTAMP '1995-01-01' GROUP BY ALL",
     "replaced_filter": "SELECT o_orderpriority, count(*) AS orders_placed, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS order_value FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL",
     "two_facts": f"SELECT c_mktsegment, revenue, orders_placed, buyers FROM (SELECT c_mktsegment, {_P} AS revenue FROM {_LI} GROUP BY ALL) FULL JOIN (SELECT c_mktsegment, count(*) AS orders_placed, count(DISTINCT o_custkey) AS buyers FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) USING (c_mktsegment)",
+    "both_directions": """
+        WITH hit AS (SELECT l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_brand IN ('Brand#1', 'Brand#12', 'Brand#13')),
+        o AS (SELECT orders.*, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (FROM hit)),
+        by_order AS (SELECT c_mktsegment, count(*) AS orders_placed, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS order_value FROM o GROUP BY ALL),
+        by_line AS (SELECT c_mktsegment, count(*) AS lines FROM hit JOIN o ON l_orderkey = o_orderkey GROUP BY ALL),
+        by_customer AS (SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey IN (SELECT o_custkey FROM o) GROUP BY ALL)
+        SELECT * FROM by_customer FULL JOIN by_order USING (c_mktsegment) FULL JOIN by_line USING (c_mktsegment)""",
     "removed_filter": f"SELECT p_brand, (sum(l_extendedprice::DECIMAL(18,4)) FILTER (WHERE l_returnflag = 'R'))::DOUBLE AS revenue, {_P} AS all_revenue FROM {_LI} GROUP BY ALL",
     "data_until": "SELECT l_returnflag, min(l_shipdate) AS first_shipment, max(l_shipdate) AS last_shipment FROM lineitem GROUP BY ALL",
     "role_playing": f"SELECT n_name, bought, sold FROM (SELECT n_name, {_Q} AS bought FROM {_LI} GROUP BY ALL) FULL JOIN (SELECT n_name, {_Q} AS sold FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) USING (n_name)",

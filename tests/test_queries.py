@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lucerna import queries as Q
 from lucerna.functions import scalars as S
+from lucerna.operators import model as M
 from lucerna.operators import tables as T
 from lucerna.streaming import events as E
 
@@ -36,6 +37,27 @@ def test_blank_rules(spark):
     assert sorted(str(r[0]) for r in T.values(df, "t").collect()) == ["A", "None", "Á"]
 
 
+def test_both_directions(spark):
+    """A filter on the many side narrows the one side only where the relationship goes both ways; text keys without
+    case, null equals null; neighbours' filters meet on the same row."""
+    tables = {
+        "shop": spark.createDataFrame([("A", 1), ("b", 2), (None, 4), ("z", 8)], "s string, worth int"),
+        "sale": spark.createDataFrame([("a", "x", 1), ("B", "x", 2), ("B", "y", 1), (None, "y", 2), ("q", "x", 2)], "shop string, item string, kind int"),
+        "thing": spark.createDataFrame([("x", True), ("y", False)], "i string, big boolean"),
+    }
+
+    def worth(both, **filters):
+        m = M.Model(tables, [M.Relationship("sale", "shop", "shop", "s", both=both), M.Relationship("sale", "item", "thing", "i")], {"worth": M.total("shop", F.col("worth"))})
+        c = M.Context()
+        for k, v in filters.items():
+            c = c.calculate(k, F.col(k) == v)
+        return [r["worth"] for r in m.query([], ["worth"], c).collect()]
+
+    assert worth(False, kind=1) == [15] and worth(True, kind=1) == [3] and worth(True, kind=2) == [6]
+    assert worth(True, big=True) == [3] and worth(True, big=True, kind=1) == [1] and worth(True, big=False, kind=2) == [4]
+    assert worth(True, big=True, kind=9) == [] and worth(True, worth=2, kind=1) == [2]
+
+
 def test_ties_and_bags(spark):
     df = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1)], "k string, v int")
     assert sorted(r["k"] for r in T.top_n(df, 2, F.col("v")).collect()) == ["a", "b", "c"]
