@@ -190,3 +190,33 @@ def catalog(model: Model) -> dict[str, DataFrame]:
         "measures": spark.createDataFrame(measures, "name string, fact string, inputs string"),
         "relationships": spark.createDataFrame(relations, "many string, many_key string, one string, one_key string, active boolean, role string"),
     }
+
+
+def first_rows(df: DataFrame, n: int, value: str, keys: list[str], largest: bool = True) -> DataFrame:
+    """The n rows with the largest or smallest values and no more: ties are cut by the keys, blanks count as least."""
+    by = F.col(value).desc_nulls_last() if largest else F.col(value).asc_nulls_first()
+    return df.orderBy(by, *keys).limit(n)
+
+
+def blank_share(df: DataFrame, key: str, value: str, least: float = 0.5) -> DataFrame:
+    """blank, total and share of a total that has no key, if the share is at least `least`: else no row, as where the
+    total is not above 0 or a group's value is below 0. A key of spaces is blank."""
+    groups = df.groupBy(F.nullif(F.trim(F.col(key).cast("string")), F.lit("")).alias("__k")).agg(F.sum(value).alias("__v"))
+    out = groups.agg(F.sum(F.when(F.col("__k").isNull(), F.col("__v")).otherwise(0)).alias("blank"), F.sum("__v").alias("total"), F.min("__v").alias("__least"))
+    out = out.where((F.col("total") > 0) & (F.col("__least") >= 0)).withColumn("share", F.col("blank").cast("double") / F.col("total").cast("double"))
+    return out.where(F.col("share") >= least).select("blank", "total", "share")
+
+
+#: Texts that stand for no value.
+NO_VALUE = ["", "blank", "none", "nan", "null", "(en blanco)"]
+
+
+def listed(df: DataFrame, column: str, cap: int) -> DataFrame:
+    """The first values of a column in order, trimmed and told apart without case; how many there are in all, and whether
+    the list is cut."""
+    text = F.trim(F.col(column).cast("string"))
+    found = df.select(text.alias("value")).where(F.col("value").isNotNull() & ~F.lower("value").isin(*NO_VALUE))
+    found = found.groupBy(F.lower("value").alias("__low")).agg(F.min("value").alias("value"))
+    size = found.agg(F.count("*").alias("total"))  # one row
+    first = found.orderBy("__low").limit(cap).select("value")
+    return first.crossJoin(F.broadcast(size)).withColumn("is_cut", F.col("total") > cap)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date as Date
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = {"year": ["y"], "quarter": ["y", "q"], "month": ["y", "m"]}
-MONTHS = {"month": 1, "quarter": 3, "year": 12}
+MONTHS = {"month": 1, "quarter": 3, "semester": 6, "year": 12}
+#: How many units a grouping covers that names no period.
+DEFAULT_UNITS = {"month": 12, "quarter": 4, "semester": 2, "year": 5, "week": 8, "day": 30}
+Span = tuple[Date, Date]
 
 
 def by_day(df: DataFrame, date: str, value: str, name: str, kind: str = "decimal(38,4)") -> DataFrame:
@@ -82,3 +88,63 @@ def year_months(start: str, end: str) -> list[tuple[int, int]]:
     """The months that a range touches, as pairs for treat_as."""
     a, b = (int(x[:4]) * 12 + int(x[5:7]) - 1 for x in (start, end))
     return [(m // 12, m % 12 + 1) for m in range(a, b + 1)]
+
+
+def start_of(d: Column, unit: str) -> Column:
+    """The first day of a date's unit; a semester begins in January or July."""
+    if unit == "semester":
+        return F.make_date(F.year(d), F.when(F.month(d) > 6, 7).otherwise(1), F.lit(1))
+    return F.to_date(F.date_trunc(unit, d))
+
+
+def _first(today: Date, unit: str, n: int = 0) -> Date:
+    """The first day of the unit that lies n units from today's."""
+    size = MONTHS[unit]
+    months = (today.year * 12 + today.month - 1) // size * size + n * size
+    return Date(months // 12, months % 12 + 1, 1)
+
+
+def last_units(today: str, n: int, unit: str) -> Span:
+    """The last n whole months, quarters, semesters or years; n days or weeks up to today. The end does not belong to it."""
+    day = Date.fromisoformat(today)
+    if unit in MONTHS:
+        return _first(day, unit, -n), _first(day, unit)
+    return day + timedelta(1 - n * (7 if unit == "week" else 1)), day + timedelta(1)
+
+
+def default_units(today: str, unit: str) -> Span:
+    """What a grouping by this unit covers if no period is asked: whole units, but years with the current one, weeks from
+    a Monday up to today and days up to today."""
+    day, n = Date.fromisoformat(today), DEFAULT_UNITS[unit]
+    if unit == "year":
+        return _first(day, unit, 1 - n), _first(day, unit, 1)
+    if unit == "week":
+        return day - timedelta(day.weekday() + 7 * (n - 1)), day + timedelta(1)
+    return last_units(today, n, unit)
+
+
+def since(start: str, today: str) -> Span:
+    return Date.fromisoformat(start), Date.fromisoformat(today) + timedelta(1)
+
+
+def in_span(date: str, span: Span) -> Column:
+    """A plain range of literals, which reaches the scan."""
+    low, high = (F.lit(str(d)).cast("timestamp_ntz") for d in span)
+    return (F.col(date) >= low) & (F.col(date) < high)
+
+
+def compared(df: DataFrame, date: str, value: str, groups: list[str], spans: dict[str, Span]) -> DataFrame:
+    """The same total in several periods side by side, in one aggregation; groups without rows in all of them are out."""
+    some = F.lit(False)
+    for span in spans.values():
+        some = some | in_span(date, span)
+    return df.where(some).groupBy(*groups).agg(*(F.sum(F.when(in_span(date, s), F.col(value))).alias(k) for k, s in spans.items()))
+
+
+def covers(first: Column, end: Column, span: Span, today: str, slack: int = 1) -> Column:
+    """Whether the window from first to end (out of it; null: open) holds a period, which ends today at the latest. Days
+    of slack count at the end, and at the start of periods of two days at most."""
+    start, stop = span[0], min(span[1], Date.fromisoformat(today) + timedelta(1))
+    late = start + timedelta(slack if stop - start <= timedelta(2) else 0)
+    begins = first.isNull() | (first <= F.lit(str(late)).cast("date"))
+    return begins & (end.isNull() | (end >= F.lit(str(stop - timedelta(slack))).cast("date")))

@@ -274,6 +274,46 @@ def quarter_buckets(spark, d):
     return TI.buckets(o, "o_orderdate", "v", "value", "1991-05-15", "1993-08-20", "quarter")
 
 
+def _valued_orders(spark, d):
+    return parquet(spark, d, "orders").withColumn("v", F.col("o_totalprice").cast(MONEY))
+
+
+def last_quarters(spark, d):
+    o = _valued_orders(spark, d).where(TI.in_span("o_orderdate", TI.last_units("1997-08-15", 3, "quarter")))
+    return o.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("value"))
+
+
+def default_semesters(spark, d):
+    o = _valued_orders(spark, d).where(TI.in_span("o_orderdate", TI.default_units("1997-08-15", "semester")))
+    return o.groupBy(TI.start_of(F.col("o_orderdate"), "semester").cast("string").alias("semester")).agg(F.count("*").alias("n"), F.sum("v").cast("double").alias("value"))
+
+
+def periods_compared(spark, d):
+    spans = {"last_years": TI.last_units("1997-08-15", 2, "year"), "since_may": TI.since("1997-05-01", "1997-08-15")}
+    out = TI.compared(_valued_orders(spark, d), "o_orderdate", "v", ["o_orderpriority"], spans)
+    return out.select("o_orderpriority", *(F.col(k).cast("double").alias(k) for k in spans))
+
+
+def covered_periods(spark, d):
+    o = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("first"), F.date_add(F.max("o_orderdate").cast("date"), 1).alias("end"))
+    year, day = TI.last_units("1994-03-10", 1, "year"), TI.last_units("1994-03-10", 1, "day")
+    return o.select("o_custkey", *(TI.covers(F.col("first"), F.col("end"), s, "1994-03-10").alias(k) for k, s in (("has_year", year), ("has_day", day))))
+
+
+def hard_ranked(spark, d):
+    o = _valued_orders(spark, d).groupBy("o_custkey").agg(F.sum("v").cast("double").alias("value"))
+    return T.first_rows(o, 7, "value", ["o_custkey"])
+
+
+def blank_group_share(spark, d):
+    li = parquet(spark, d, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("flag"), F.col("l_quantity").cast(MONEY).alias("q"))
+    return T.blank_share(li, "flag", "q", 0.1).select(F.col("blank").cast("double").alias("blank"), F.col("total").cast("double").alias("total"), F.round("share", 9).alias("share"))
+
+
+def listed_values(spark, d):
+    return T.listed(parquet(spark, d, "part"), "p_brand", 10)
+
+
 def nearest_vectors(spark, d):
     e = parquet(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
@@ -419,6 +459,7 @@ QUERIES = {f.__name__: _plain(f) for f in (
     lexical_retrieval, event_counts, over_limit, both_roles, measure_filter_replaces, measure_filter_over_groups, kept_filter, measure_order, unrelated_dimension, measure_of_measures, all_except,
     year_month_pairs, iterated, counts, inspected, edge_values, summarized, related_rows, generated, combined_tables, distinct_tuples, up_and_down, looked_up_pair, domain_values, logic_scalars, number_scalars,
     more_text, more_dates, formats, day_shifts, period_edges, month_to_date, last_days, quarter_buckets, nearest_vectors, hybrid_retrieval, text_chunks, value_matches, name_similarity, request_limits,
+    last_quarters, default_semesters, periods_compared, covered_periods, hard_ranked, blank_group_share, listed_values,
 )}
 
 _LI = "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey"
@@ -497,6 +538,13 @@ ORACLE_SQL = {
     "month_to_date": f"WITH {_DAYS} SELECT day::VARCHAR AS day, round(sum(value) OVER (PARTITION BY date_trunc('month', day) ORDER BY day), 4) AS mtd, round(sum(value) OVER (PARTITION BY date_trunc('quarter', day) ORDER BY day), 4) AS qtd FROM d",
     "last_days": f"WITH {_DAYS} SELECT day::VARCHAR AS day, round(sum(value) OVER (ORDER BY day RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW), 4) AS ten_days FROM d",
     "quarter_buckets": "SELECT b::DATE::VARCHAR AS bucket, (SELECT sum(o_totalprice::DECIMAL(18,4))::DOUBLE FROM orders WHERE date_trunc('quarter', o_orderdate) = b AND o_orderdate >= '1991-05-15' AND o_orderdate < '1993-08-21') AS value FROM (SELECT unnest(generate_series(TIMESTAMP '1991-04-01', TIMESTAMP '1993-07-01', INTERVAL 3 MONTH)) AS b)",
+    "last_quarters": "SELECT o_orderpriority, count(*) AS n, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS value FROM orders WHERE o_orderdate >= '1996-10-01' AND o_orderdate < '1997-07-01' GROUP BY ALL",
+    "default_semesters": "SELECT CASE WHEN month(o_orderdate) > 6 THEN year(o_orderdate) || '-07-01' ELSE year(o_orderdate) || '-01-01' END AS semester, count(*) AS n, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS value FROM orders WHERE o_orderdate >= '1996-07-01' AND o_orderdate < '1997-07-01' GROUP BY ALL",
+    "periods_compared": "SELECT o_orderpriority, (sum(o_totalprice::DECIMAL(18,4)) FILTER (WHERE year(o_orderdate) IN (1995, 1996)))::DOUBLE AS last_years, (sum(o_totalprice::DECIMAL(18,4)) FILTER (WHERE o_orderdate >= '1997-05-01' AND o_orderdate < '1997-08-16'))::DOUBLE AS since_may FROM orders WHERE year(o_orderdate) IN (1995, 1996) OR (o_orderdate >= '1997-05-01' AND o_orderdate < '1997-08-16') GROUP BY ALL",
+    "covered_periods": "SELECT o_custkey, min(o_orderdate)::DATE <= DATE '1993-01-01' AND max(o_orderdate)::DATE + 1 >= DATE '1993-12-31' AS has_year, min(o_orderdate)::DATE <= DATE '1994-03-11' AND max(o_orderdate)::DATE + 1 >= DATE '1994-03-10' AS has_day FROM orders GROUP BY ALL",
+    "hard_ranked": "SELECT o_custkey, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS value FROM orders GROUP BY ALL ORDER BY value DESC, o_custkey LIMIT 7",
+    "blank_group_share": "SELECT blank, total, round(blank / total, 9) AS share FROM (SELECT (sum(l_quantity::DECIMAL(18,4)) FILTER (WHERE l_returnflag = 'N'))::DOUBLE AS blank, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS total FROM lineitem) WHERE blank / total >= 0.1",
+    "listed_values": "SELECT value, total, total > 10 AS is_cut FROM (SELECT DISTINCT p_brand AS value FROM part) CROSS JOIN (SELECT count(DISTINCT p_brand) AS total FROM part) ORDER BY lower(value) LIMIT 10",
     "nearest_vectors": "SELECT query, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS place FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE place <= 5",
     "value_matches": "SELECT p_partkey, 1.0::DOUBLE AS score FROM part",
     "request_limits": "SELECT event_id, user_id, n, CASE WHEN n > 2 AND frees + 3600 > sec THEN round(frees + 3600 - sec, 6) END AS wait FROM (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n, lag(epoch_us(ts) / 1e6, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frees FROM events)",

@@ -10,6 +10,7 @@ from lucerna import queries as Q
 from lucerna.functions import scalars as S
 from lucerna.operators import model as M
 from lucerna.operators import tables as T
+from lucerna.operators import time_intelligence as TI
 from lucerna.streaming import events as E
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +59,23 @@ def test_both_directions(spark):
     assert worth(True, big=True, kind=9) == [] and worth(True, worth=2, kind=1) == [2]
 
 
+def test_spans():
+    assert [str(x) for x in TI.last_units("2024-03-31", 2, "semester")] == ["2023-01-01", "2024-01-01"]
+    assert [str(x) for x in TI.last_units("2024-01-05", 1, "month")] == ["2023-12-01", "2024-01-01"]
+    assert [str(x) for x in TI.last_units("2024-03-01", 2, "week")] == ["2024-02-17", "2024-03-02"]
+    assert [str(x) for x in TI.default_units("2024-05-15", "year")] == ["2020-01-01", "2025-01-01"]
+    assert [str(x) for x in TI.default_units("2024-05-15", "week")] == ["2024-03-25", "2024-05-16"]
+    assert [str(x) for x in TI.default_units("2024-05-15", "quarter")] == ["2023-04-01", "2024-04-01"]
+
+
+def test_blank_and_listed_edges(spark):
+    df = spark.createDataFrame([(" ", 3), (None, 1), ("a", 4), ("A ", 0), ("null", 0), ("b", None)], "k string, v int")
+    assert [tuple(r) for r in T.blank_share(df, "k", "v").collect()] == [(4, 8, 0.5)] and not T.blank_share(df, "k", "v", 0.6).collect()
+    assert not T.blank_share(df.limit(0), "k", "v", 0.0).collect() and not T.blank_share(df.union(df.select("k", F.lit(-9))), "k", "v", 0.0).collect()
+    assert [tuple(r) for r in T.listed(df, "k", 1).collect()] == [("A", 2, True)] and not T.listed(df.limit(0), "k", 1).collect()
+    assert [r["k"] for r in T.first_rows(df, 2, "v", ["k"], largest=False).collect()] == ["b", "A "]
+
+
 def test_ties_and_bags(spark):
     df = spark.createDataFrame([("a", 3), ("b", 2), ("c", 2), ("d", 1)], "k string, v int")
     assert sorted(r["k"] for r in T.top_n(df, 2, F.col("v")).collect()) == ["a", "b", "c"]
