@@ -13,22 +13,27 @@ from lucerna.llm.quality import quality_stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rule or a certified cutoff rejects go; nulls count as empty texts."""
     return quality_stage(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays; texts without words are linked with nothing and stay."""
     return join_stage(spark, docs, sf_dir)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go, each judged by its own text; null and empty texts stay."""
     return decontaminate_stage(spark, docs, sf_dir)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities are replaced by surrogates and n_chars follows; rows, ids and other columns stay as they are."""
     return pii_stage(spark, docs, sf_dir)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents become pieces, each with its sequence and offset; a null text is an empty one."""
     return packing_stage(spark, docs, sf_dir)
 
 
@@ -44,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each on a checkpoint of what the one before it kept."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
