@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, lm_scoring, packing, pii, quality, structure_repair, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_lm_scoring": lm_scoring.op9,
     "op10_spaced_seeds": decontaminate.op10,
+    "op11_structure_repair": structure_repair.op11,
 }
 ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL}
