@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard_join, lm_scoring, mixing, packing, pii, quality, structure_repair, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, lexical_search, lm_scoring, mixing, packing, pii, quality, structure_repair, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_pii_surrogates": pii.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9,
     "op10_spaced_seeds": decontaminate.op10,
     "op11_structure_repair": structure_repair.op11,
+    "op12_lexical_search": lexical_search.op12,
     "op13_source_mix": mixing.op13,
 }
-ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL}
+ORACLE_SQL = {"op3_chat_formatting": chat.OP3_SQL, "op12_lexical_search": lexical_search.OP12_SQL}
