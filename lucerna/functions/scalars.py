@@ -173,6 +173,16 @@ def floor(x: Column, step: float) -> Column:
     return F.floor(x / step) * step
 
 
+def smaller(a: Column, b: Column) -> Column:
+    """MIN of two values: BLANK counts only if both are."""
+    return F.least(a, b)
+
+
+def larger(a: Column, b: Column) -> Column:
+    """MAX of two values: BLANK counts only if both are."""
+    return F.greatest(a, b)
+
+
 def value(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 

@@ -7,16 +7,26 @@ filters. Parts are merged on their group keys, null-safe. A measure that a group
 dimension, a removed or replaced filter) repeats its value over that key's values. Blank measures (nothing to aggregate)
 are null; rows in which all are blank go. A relationship of both directions lets a filter on its many side narrow its one
 side, by semi joins on keys; group keys go from many to one only.
+
+A measure over a period (year to date, the year before, ...) sees other dates than its group: the dates that the calendar
+shows in the group are mapped to a set of dates, which takes the place of all filters on the calendar. Facts are added up
+by day first where values of days combine (sums, counts, least, greatest), so that what meets the sets is a row for each
+day and group, not a fact's row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .periods import Period, dates_of
+
+#: Combinations of group values of several tables that a query may cross.
+MOST_COMBINATIONS = 200_000
+
 
 @dataclass(frozen=True)
 class Relationship:
@@ -32,7 +42,9 @@ class Relationship:
 @dataclass(frozen=True)
 class Measure:
     """An aggregate over a fact's columns. where: filters that replace those on their columns (CALCULATE), keep: filters
-    that stand beside them (KEEPFILTERS), ignores: columns whose filters go (ALL, REMOVEFILTERS), uses: a role."""
+    that stand beside them (KEEPFILTERS), ignores: columns whose filters go (ALL, REMOVEFILTERS), selected: columns whose
+    group keys go and whose filters stay (ALLSELECTED), uses: a role, period: the dates that it sees instead of its
+    group's, merge: how the values of parts of the rows combine, if they do."""
 
     fact: str
     aggregate: Callable[[Column | None], Column]
@@ -40,6 +52,9 @@ class Measure:
     keep: Mapping[str, Column] = field(default_factory=dict)
     ignores: frozenset[str] = frozenset()
     uses: str | None = None
+    selected: frozenset[str] = frozenset()
+    period: Period | None = None
+    merge: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -50,13 +65,23 @@ class Derived:
     combine: Callable[..., Column]
 
 
+@dataclass(frozen=True)
+class Inspection:
+    """ISFILTERED (a column or table), ISCROSSFILTERED (a table), HASONEFILTER and ISINSCOPE (a column): what filters and
+    group keys act on it. Never blank, so a query with one has a row for each combination of its groups."""
+
+    kind: str
+    of: str
+
+
 @dataclass(frozen=True)
 class Context:
-    """Predicates by the columns that they are on. A new filter on columns replaces the old one unless kept."""
+    """Predicates, or tables of allowed values, by the columns that they are on. A new filter on columns replaces the old
+    one unless kept."""
 
-    filters: tuple[tuple[tuple[str, ...], Column], ...] = ()
+    filters: tuple[tuple[tuple[str, ...], Column | DataFrame], ...] = ()
 
-    def calculate(self, column: str | tuple[str, ...], predicate: Column, keep: bool = False) -> Context:
+    def calculate(self, column: str | tuple[str, ...], predicate: Column | DataFrame, keep: bool = False) -> Context:
         columns = (column,) if isinstance(column, str) else column
         rest = self.filters if keep else tuple(f for f in self.filters if f[0] != columns)
         return replace(self, filters=(*rest, (columns, predicate)))
@@ -65,8 +90,13 @@ class Context:
         """Filters go whose columns are all among these."""
         return replace(self, filters=tuple(f for f in self.filters if not set(f[0]) <= set(columns)))
 
-    def treat_as(self, columns: tuple[str, ...], rows: list[tuple], keep: bool = False) -> Context:
-        """TREATAS: the columns take the values of one of the rows; text without case, BLANK equals BLANK."""
+    def treat_as(self, columns: tuple[str, ...], rows: list[tuple] | DataFrame, keep: bool = False) -> Context:
+        """TREATAS: the columns take the values of one of the rows; text without case, BLANK equals BLANK. A table's rows
+        act by a semi join; a value of another type than its column's equals none."""
+        if isinstance(rows, DataFrame):
+            if len(rows.columns) != len(columns):
+                raise ValueError(f"{len(columns)} columns can't take the values of {len(rows.columns)}")
+            return self.calculate(columns if len(columns) > 1 else columns[0], rows, keep)
         fits = F.lit(False)
         for row in rows:
             one = F.lit(True)
@@ -142,7 +172,7 @@ class Model:
         df, hit, seen = self.tables[table], False, seen | {table}
         for columns, predicate in filters:
             if all(self.table_of(c) == table for c in columns):
-                df, hit = df.where(predicate), True
+                df, hit = filtered(df, columns, predicate), True
         for r in self.edges(uses):
             ways = [(r.many, r.many_key, r.one, r.one_key)] + ([(r.one, r.one_key, r.many, r.many_key)] if r.both else [])
             for here, own, there, key in ways:
@@ -178,9 +208,30 @@ class Model:
         """ALLEXCEPT, as a measure's `ignores`."""
         return self.expanded(table) - set(keep)
 
-    def cross_filtered(self, context: Context, table: str) -> bool:
-        """ISCROSSFILTERED: a filter on the table, or on one that narrows it."""
-        return any(self.path(table, self.table_of(c)) is not None for columns, _ in context.filters for c in columns)
+    def cross_filtered(self, context: Context, table: str, groups: Iterable[str] = ()) -> bool:
+        """ISCROSSFILTERED: a filter or group key on the table, or on one that narrows it."""
+        touched = {self.table_of(c) for columns, _ in context.filters for c in columns} | {self.table_of(Key.of(g).column) for g in groups}
+        seen, queue = {table}, [table]
+        while queue:
+            at = queue.pop()
+            ways = [r.one for r in self.edges() if r.many == at] + [r.many for r in self.edges() if r.one == at and r.both]
+            queue += [t for t in ways if t not in seen]
+            seen |= set(ways)
+        return bool(seen & touched)
+
+    def is_filtered(self, context: Context, of: str, groups: Iterable[str] = ()) -> bool:
+        """ISFILTERED: a filter or group key on the column, or on a column of the table."""
+        acting = {c for columns, _ in context.filters for c in columns} | {Key.of(g).column for g in groups}
+        return any(self.table_of(c) == of for c in acting) if of in self.tables else of in acting
+
+    def calculate_table(self, table: str, context: Context) -> DataFrame:
+        """CALCULATETABLE: the rows of a table that the context shows."""
+        rows = self.narrowed(table, list(context.filters))
+        return self.tables[table] if rows is None else rows
+
+    def visible(self, context: Context, *columns: str) -> DataFrame:
+        """VALUES under a context: the distinct values of columns of one table that it shows."""
+        return self.calculate_table(self.table_of(columns[0]), context).select(*columns).distinct()
 
     def related(self, fact: str, columns: list[str | Key], uses: str | None = None, how: str = "left", rows: DataFrame | None = None) -> DataFrame:
         """The fact, or these rows of it, with the columns (RELATED) of its dimensions; keys in a role come under their
@@ -218,51 +269,130 @@ class Model:
         return x.combine(*(self.value(i, known) for i in x.inputs)) if isinstance(x, Derived) else F.col(name)
 
     def spine(self, keys: list[Key], context: Context) -> DataFrame:
-        """The combinations of key values: those that exist in a table, each with each between tables."""
-        out, by_table = None, {}
+        """The combinations of key values: those that exist in a table's rows under the whole context, each with each
+        between tables, as far as they are at most `MOST_COMBINATIONS`."""
+        out, by_table, sizes = None, {}, 1
         for k in keys:
             by_table.setdefault((self.table_of(k.column), k.role), []).append(k)
-        for (table, _), own in by_table.items():
-            df = self.tables[table]
-            for columns, predicate in context.filters:
-                if set(columns) <= set(df.columns):
-                    df = df.where(predicate)
-            df = df.select(*(F.col(k.column).alias(k.alias) for k in own)).distinct()
+        for (table, role), own in by_table.items():
+            rows = self.narrowed(table, list(context.filters), role)
+            df = (self.tables[table] if rows is None else rows).select(*(F.col(k.column).alias(k.alias) for k in own)).distinct()
+            if len(by_table) > 1:
+                sizes *= df.limit(MOST_COMBINATIONS + 1).count()
+                if sizes > MOST_COMBINATIONS:
+                    raise ValueError(f"groups of {len(by_table)} tables have more than {MOST_COMBINATIONS} combinations")
             out = df if out is None else out.crossJoin(df)
         return out
 
-    def query(self, groups: list[str], measures: list[str], context: Context = Context(), extra: dict[str, Measure | Derived] | None = None) -> DataFrame:
+    def inspected(self, name: str, x: Inspection, groups: list[str], context: Context) -> dict[str, Measure | Derived]:
+        """An inspection as measures: what acts is known from the query, whether one value is left from the rows."""
+        acts = self.cross_filtered(context, x.of, groups) if x.kind == "cross" else self.is_filtered(context, x.of, groups)
+        if x.kind in ("filtered", "cross") or not acts:
+            return {name: Derived((), lambda: F.lit(acts))}
+        one = has_one_value(self.table_of(x.of), x.of)
+        return {name: Derived((f"__one_{name}",), lambda v: F.coalesce(v, F.lit(False))), f"__one_{name}": one}
+
+    def part(self, fact: str, names: list[str], known: dict, keys: list[Key], context: Context, uses: str | None) -> DataFrame:
+        """The measures of one fact that see the same rows, by these keys."""
+        left = context.filters
+        filters = [(c, p) for c, p in left if all(self.reaches(fact, x, uses) for x in c)]
+        more = [c for n in names for c in (*known[n].where, *known[n].keep)]
+        far = len(filters) < len(left) and any(r.both for r in self.edges(uses))
+        df = self.related(fact, [*keys, *(x for c, _ in filters for x in c), *more], uses, "inner", self.narrowed(fact, list(left), uses) if far else None)
+        for columns, predicate in filters:
+            df = filtered(df, columns, predicate)
+        return df.groupBy(*(k.alias if k.role else F.col(k.column).alias(k.alias) for k in keys)).agg(*(known[m].aggregate(own_filter(known[m])).alias(m) for m in names))
+
+    def period_part(self, fact: str, names: list[str], known: dict, keys: list[Key], context: Context, uses: str | None) -> DataFrame:
+        """As `part`, of measures that see periods of one calendar instead of the dates of their group. If their values of
+        days combine, facts are added up once by day for all of them, and the days meet the sets of all periods at once;
+        else (counts of distinct values, medians) they have one period, and rows meet its sets."""
+        column = known[names[0]].period.column
+        calendar = self.table_of(column)
+        own = [k for k in keys if self.table_of(k.column) == calendar]
+        rest = [k for k in keys if self.table_of(k.column) != calendar]
+        for k in keys:
+            if k in own and k.role or k in rest and self.path(calendar, self.table_of(k.column)) is not None:
+                raise ValueError(f"{k.alias}: a period's groups are columns of its calendar, without a role")
+        shown = self.narrowed(calendar, list(context.filters), uses)
+        day = F.col(column).cast("date").alias("__day")
+        days = self.tables[calendar].select(day).where("__day is not null").distinct()
+        seen = (self.tables[calendar] if shown is None else shown).select(*(F.col(k.column).alias(f"__of_{k.alias}") for k in own), day).where("__day is not null").distinct()
+        periods, sets = list(dict.fromkeys(known[n].period for n in names)), None
+        for i, period in enumerate(periods):
+            one = dates_of(seen, days, [f"__of_{k.alias}" for k in own], "__day", period).withColumn("__period", F.lit(i))
+            sets = one if sets is None else sets.unionByName(one)
+        others = replace(context, filters=tuple(f for f in context.filters if all(self.table_of(c) != calendar for c in f[0])))
+        if all(known[n].merge for n in names):
+            same = {n: (id(known[n].aggregate), id(known[n].where), id(known[n].keep)) for n in names}
+            first = {k: n for n, k in reversed(same.items())}
+            by_day = self.part(fact, list(first.values()), known, [*rest, Key("__date", column)], others, uses)
+            met = by_day.join(sets, F.col("__date").cast("date") == F.col("__day"))
+            by = [F.col(f"__of_{k.alias}" if k in own else k.alias).alias(k.alias) for k in keys]
+            out = met.groupBy(*by).agg(*(known[n].merge(F.when(F.col("__period") == periods.index(known[n].period), F.col(first[same[n]]))).alias(n) for n in names))
+        else:
+            filters = [(f, p) for f, p in others.filters if all(self.reaches(fact, c, uses) for c in f)]
+            columns = [*rest, *(c for f, _ in filters for c in f), *(c for n in names for c in (*known[n].where, *known[n].keep)), column]
+            far = len(filters) < len(others.filters) and any(r.both for r in self.edges(uses))
+            df = self.related(fact, columns, uses, "inner", self.narrowed(fact, list(others.filters), uses) if far else None)
+            for f, predicate in filters:
+                df = filtered(df, f, predicate)
+            df = df.join(sets, F.col(column).cast("date") == F.col("__day"))
+            by = [F.col(f"__of_{k.alias}" if k in own else k.alias if k.role else k.column).alias(k.alias) for k in keys]
+            out = df.groupBy(*by).agg(*(known[m].aggregate(own_filter(known[m])).alias(m) for m in names))
+        gone = [f for f in context.filters if not any(f is g for g in others.filters)]
+        return self.shown_only(out, rest, context, gone)
+
+    def shown_only(self, df: DataFrame, keys: list[Key], context: Context, gone: list) -> DataFrame:
+        """The rows whose keys the whole context shows, where a measure sees more than it: a group's value needs no row
+        with data, but it has to exist in its table under the filters that the measure has done away with (`gone`)."""
+        for table, role in dict.fromkeys((self.table_of(k.column), k.role) for k in keys):
+            if all(self.path(table, self.table_of(c), role) is None for columns, _ in gone for c in columns):
+                continue
+            own = [k for k in keys if (self.table_of(k.column), k.role) == (table, role)]
+            there = self.narrowed(table, list(context.filters), role)
+            if there is not None:
+                there = there.select(*(F.col(k.column).alias(f"__{k.alias}") for k in own)).distinct()
+                on = F.lit(True)
+                for k in own:
+                    on = on & df[k.alias].eqNullSafe(there[f"__{k.alias}"])
+                df = df.join(there, on, "left_semi")
+        return df
+
+    def query(self, groups: list[str], measures: list[str], context: Context = Context(), extra: dict[str, Measure | Derived | Inspection] | None = None) -> DataFrame:
         """SUMMARIZECOLUMNS: groups, and the measures in the context narrowed to each group."""
         known, keys = {**self.measures, **(extra or {})}, [Key.of(g) for g in groups]
+        looks = [m for m in measures if isinstance(known[m], Inspection)]
+        for m in looks:
+            known |= self.inspected(m, known[m], groups, context)
         asked = {k.column for k in keys} | {c for columns, _ in context.filters for c in columns}
         base = self.inputs(measures, known)
         parts: dict[tuple, list[str]] = {}
         for m in base:
             x = known[m]
-            parts.setdefault((x.fact, (x.ignores | set(x.where)) & asked, x.uses), []).append(m)
+            period = x.period if x.period and self.reaches(x.fact, x.period.column, x.uses) else None
+            together = period and (period.column if x.merge else period)
+            parts.setdefault((x.fact, (x.ignores | set(x.where)) & asked, x.uses, x.selected & asked, together), []).append(m)
         whole, short = None, []
-        for (fact, dropped, uses), names in parts.items():
-            own = [k for k in keys if k.column not in dropped and self.reaches(fact, k.column, k.role or uses)]
-            filters = [(c, p) for c, p in context.remove(*dropped).filters if all(self.reaches(fact, x, uses) for x in c)]
-            more = [c for n in names for c in (*known[n].where, *known[n].keep)]
-            left = context.remove(*dropped).filters
-            far = len(filters) < len(left) and any(r.both for r in self.edges(uses))
-            df = self.related(fact, [*own, *(x for c, _ in filters for x in c), *more], uses, "inner", self.narrowed(fact, list(left), uses) if far else None)
-            for _, predicate in filters:
-                df = df.where(predicate)
-            part = df.groupBy(*(k.alias if k.role else F.col(k.column).alias(k.alias) for k in own)).agg(*(known[m].aggregate(own_filter(known[m])).alias(m) for m in names))
+        for (fact, dropped, uses, selected, together), names in parts.items():
+            own = [k for k in keys if k.column not in dropped | selected and self.reaches(fact, k.column, k.role or uses)]
+            left = context.remove(*dropped)
+            part = (self.period_part if together else self.part)(fact, names, known, own, left, uses)
+            part = self.shown_only(part, own, context, [f for f in context.filters if not any(f is g for g in left.filters)])
             if len(own) < len(keys):
                 short.append(([k.alias for k in own], part))
             else:
                 whole = part if whole is None else merged(whole, part, [k.alias for k in keys], "full")
         aliases = [k.alias for k in keys]
         out = whole
-        if short:
+        if keys and (short or looks or out is None):
             out = self.spine(keys, context)
             if whole is not None:
                 out = merged(out, whole, aliases, "left")
-            for own, part in short:
-                out = merged(out, part, own, "left")
+        elif out is None:
+            out = next(iter(self.tables.values())).sparkSession.range(1).select()
+        for own, part in short:
+            out = merged(out, part, own, "left")
         out = out.select(*aliases, *(self.value(m, known).alias(m) for m in measures))
         return out.where(F.coalesce(*(F.col(m).cast("string") for m in measures)).isNotNull())
 
@@ -283,6 +413,32 @@ def equal_keys(left: str, right: str, text: bool) -> Column:
     return F.lower(left).eqNullSafe(F.lower(right)) if text else F.col(left).eqNullSafe(F.col(right))
 
 
+def kind_of(data_type: str) -> str:
+    """What values of a type can equal."""
+    if data_type.startswith(("date", "timestamp")):
+        return "time"
+    return data_type if data_type in ("string", "boolean") else "number"
+
+
+def filtered(df: DataFrame, columns: tuple[str, ...], by: Column | DataFrame) -> DataFrame:
+    """The rows that a filter leaves: a predicate's, or those whose columns equal a row of the table."""
+    if isinstance(by, Column):
+        return df.where(by)
+    kinds, on = dict(df.dtypes), F.lit(True)
+    rows = by.toDF(*(f"__v{i}" for i in range(len(columns)))).distinct()
+    for (v, k), c in zip(rows.dtypes, columns, strict=True):
+        if kind_of(k) == kind_of(kinds[c]):
+            on = on & equal_keys(c, v, k == "string")
+        else:
+            on = on & F.col(c).isNull() & F.col(v).isNull()
+    return df.join(rows, on, "left_semi")
+
+
+def over(measure: Measure, period: Period) -> Measure:
+    """The measure over a period: CALCULATE(measure, DATESYTD(...)), TOTALYTD(measure, ...) and the like."""
+    return replace(measure, period=period)
+
+
 def own_filter(measure: Measure) -> Column | None:
     out = None
     for p in (*measure.where.values(), *measure.keep.values()):
@@ -321,7 +477,7 @@ def _folded(column: str | Column) -> Column:
 
 def total(fact: str, column: str | Column, **more) -> Measure:
     """SUM, and SUMX of an expression over the fact's rows."""
-    return Measure(fact, lambda w: F.sum(_if(w, _of(column))), **more)
+    return Measure(fact, lambda w: F.sum(_if(w, _of(column))), **{"merge": F.sum, **more})
 
 
 def average(fact: str, column: str | Column, **more) -> Measure:
@@ -329,11 +485,11 @@ def average(fact: str, column: str | Column, **more) -> Measure:
 
 
 def smallest(fact: str, column: str | Column, **more) -> Measure:
-    return Measure(fact, lambda w: F.min(_if(w, _of(column))), **more)
+    return Measure(fact, lambda w: F.min(_if(w, _of(column))), **{"merge": F.min, **more})
 
 
 def largest(fact: str, column: str | Column, **more) -> Measure:
-    return Measure(fact, lambda w: F.max(_if(w, _of(column))), **more)
+    return Measure(fact, lambda w: F.max(_if(w, _of(column))), **{"merge": F.max, **more})
 
 
 def median(fact: str, column: str | Column, **more) -> Measure:
@@ -342,12 +498,12 @@ def median(fact: str, column: str | Column, **more) -> Measure:
 
 def count_rows(fact: str, **more) -> Measure:
     """No rows: BLANK."""
-    return Measure(fact, lambda w: _none(F.count(_if(w, F.lit(1)))), **more)
+    return Measure(fact, lambda w: _none(F.count(_if(w, F.lit(1)))), **{"merge": F.sum, **more})
 
 
 def count(fact: str, column: str | Column, **more) -> Measure:
     """COUNT, COUNTA, COUNTX: values that are not BLANK; none: BLANK."""
-    return Measure(fact, lambda w: _none(F.count(_if(w, _of(column)))), **more)
+    return Measure(fact, lambda w: _none(F.count(_if(w, _of(column)))), **{"merge": F.sum, **more})
 
 
 def count_blank(fact: str, column: str | Column, **more) -> Measure:

@@ -178,6 +178,12 @@ def domains(df: DataFrame, columns: list[str], limit: int = 2500) -> DataFrame:
     return each.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).select("position", "value")
 
 
+def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """How many values each column has, in one pass and one row: text without case, BLANK as a value of its own."""
+    blank = lambda c: F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0))
+    return df.agg(*((F.countDistinct(F.lower(F.col(c).cast("string"))) + blank(c)).alias(c) for c in columns))
+
+
 def catalog(model: Model) -> dict[str, DataFrame]:
     """INFO.VIEW tables of a model: its tables, columns, measures and relationships."""
     spark = next(iter(model.tables.values())).sparkSession

@@ -13,33 +13,11 @@ from .operators import model as M
 from .operators import tables as T
 from .operators import time_intelligence as TI
 from .plans import retrieval as R
-from .sources.files import TABLES, parquet
+from .registry import contexts
+from .sources.files import parquet
+from .star import MONEY, model, plain_types
 from .streaming import events as E
 
-MONEY = "decimal(18,4)"
-
-
-def model(spark: SparkSession, d: str) -> M.Model:
-    t = M.Tables(TABLES, lambda n: parquet(spark, d, n), {"l_": "lineitem", "o_": "orders", "c_": "customer", "p_": "part", "s_": "supplier", "n_": "nation", "r_": "region"})
-    rel = M.Relationship
-    relations = [
-        rel("lineitem", "l_orderkey", "orders", "o_orderkey"), rel("orders", "o_custkey", "customer", "c_custkey"), rel("lineitem", "l_partkey", "part", "p_partkey"),
-        rel("lineitem", "l_suppkey", "supplier", "s_suppkey"), rel("customer", "c_nationkey", "nation", "n_nationkey"), rel("nation", "n_regionkey", "region", "r_regionkey"),
-        rel("supplier", "s_nationkey", "nation", "n_nationkey", False, "supplier nation"),
-        rel("customer", "c_nationkey", "nation", "n_nationkey", False, "buyer nation"),
-    ]
-    price, net = F.col("l_extendedprice").cast(MONEY), F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(6,4)"))
-    measures = {
-        "revenue": M.total("lineitem", price), "net_revenue": M.total("lineitem", net), "quantity": M.total("lineitem", F.col("l_quantity").cast(MONEY)),
-        "lines": M.count_rows("lineitem"), "returned_lines": M.count_rows("lineitem", where={"l_returnflag": F.col("l_returnflag") == "R"}),
-        "orders_placed": M.count_rows("orders"), "order_value": M.total("orders", F.col("o_totalprice").cast(MONEY)), "buyers": M.distinct_count("orders", "o_custkey"),
-        "first_shipment": M.smallest("lineitem", "l_shipdate"), "last_shipment": M.largest("lineitem", "l_shipdate"), "open_orders": M.count_rows("orders", where={"o_orderstatus": F.col("o_orderstatus") == "O"}),
-        "all_revenue": M.total("lineitem", price, ignores=frozenset({"l_returnflag"})),
-        "revenue_a_line": M.Derived(("revenue", "lines"), lambda a, b: F.round(S.divide(a, b), 6)), "share_returned": M.Derived(("returned_lines", "lines"), lambda a, b: F.round(S.divide(a, b), 9)),
-    }
-    return M.Model(t, relations, measures)
-
-
 def scalar_measures(spark, d):
     return model(spark, d).query([], ["revenue", "net_revenue", "quantity", "lines", "returned_lines", "orders_placed", "order_value", "buyers"])
 
@@ -442,18 +420,7 @@ def over_limit(spark, d):
     return E.over_limit(parquet(spark, d, "events"), 1, "1 day", "12 hours").select(F.col("w.start").alias("start"), "user_id", "n")
 
 
-def _plain(query):
-    """Decimals as doubles and dates as text, so that results compare with any engine's."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = query(spark, sf_dir)
-        kinds = {n: "double" for n, k in df.dtypes if k.startswith("decimal")} | {n: "string" for n, k in df.dtypes if k == "date"}
-        return df.withColumns({n: F.col(n).cast(k) for n, k in kinds.items()})
-
-    return run
-
-
-QUERIES = {f.__name__: _plain(f) for f in (
+QUERIES = {f.__name__: plain_types(f) for f in (
     scalar_measures, grouped_measures, filtered_context, replaced_filter, two_facts, both_directions, removed_filter, data_until, role_playing, top_with_ties, ranked_groups, share_of_total, running_year,
     last_year, rolling_quarter, period_buckets, calendar, except_and_intersect, distinct_values, domain_cardinality, looked_up, text_scalars, math_scalars, date_scalars, detail,
     lexical_retrieval, event_counts, over_limit, both_roles, measure_filter_replaces, measure_filter_over_groups, kept_filter, measure_order, unrelated_dimension, measure_of_measures, all_except,
@@ -549,3 +516,7 @@ ORACLE_SQL = {
     "value_matches": "SELECT p_partkey, 1.0::DOUBLE AS score FROM part",
     "request_limits": "SELECT event_id, user_id, n, CASE WHEN n > 2 AND frees + 3600 > sec THEN round(frees + 3600 - sec, 6) END AS wait FROM (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n, lag(epoch_us(ts) / 1e6, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frees FROM events)",
 }
+
+for _module in (contexts,):
+    QUERIES |= {f.__name__: plain_types(f) for f in _module.QUERY_LIST}
+    ORACLE_SQL |= _module.ORACLE_SQL
