@@ -13,7 +13,7 @@ from .operators import model as M
 from .operators import tables as T
 from .operators import time_intelligence as TI
 from .plans import retrieval as R
-from .registry import contexts
+from .registry import contexts, retrieval
 from .sources.files import parquet
 from .star import MONEY, model, plain_types
 from .streaming import events as E
@@ -298,16 +298,6 @@ def nearest_vectors(spark, d):
     return R.nearest(e, q, "vec_id", "embedding", "query", "asked", 5).select("query", "vec_id", "place")
 
 
-def hybrid_retrieval(spark, d):
-    docs = parquet(spark, d, "documents").select("doc_id", "text")
-    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
-    lex = R.best(R.lexical_scores(docs, q, "doc_id", "query"), "query", "doc_id", 20)
-    e = parquet(spark, d, "embeddings")
-    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
-    vec = R.nearest(e, asked, "vec_id", "embedding", "query", "asked", 20).withColumnRenamed("vec_id", "doc_id")
-    return R.hybrid(lex, vec, "query", "doc_id", 5)
-
-
 def text_chunks(spark, d):
     return R.chunks(parquet(spark, d, "documents"), "doc_id").select("doc_id", "chunk", F.length("text").alias("n_chars"), "chunk_id")
 
@@ -408,10 +398,6 @@ def detail(spark, d):
     return m.related("orders", ["n_name"]).where("o_totalprice > 400000").select("o_orderkey", "n_name", "o_totalprice")
 
 
-def lexical_retrieval(spark, d):
-    return R.lexical(parquet(spark, d, "documents"), parquet(spark, d, "benchmark"), "doc_id", "item_id", 3).select("item_id", "doc_id", "place")
-
-
 def event_counts(spark, d):
     return E.counted(parquet(spark, d, "events"))
 
@@ -423,9 +409,9 @@ def over_limit(spark, d):
 QUERIES = {f.__name__: plain_types(f) for f in (
     scalar_measures, grouped_measures, filtered_context, replaced_filter, two_facts, both_directions, removed_filter, data_until, role_playing, top_with_ties, ranked_groups, share_of_total, running_year,
     last_year, rolling_quarter, period_buckets, calendar, except_and_intersect, distinct_values, domain_cardinality, looked_up, text_scalars, math_scalars, date_scalars, detail,
-    lexical_retrieval, event_counts, over_limit, both_roles, measure_filter_replaces, measure_filter_over_groups, kept_filter, measure_order, unrelated_dimension, measure_of_measures, all_except,
+    event_counts, over_limit, both_roles, measure_filter_replaces, measure_filter_over_groups, kept_filter, measure_order, unrelated_dimension, measure_of_measures, all_except,
     year_month_pairs, iterated, counts, inspected, edge_values, summarized, related_rows, generated, combined_tables, distinct_tuples, up_and_down, looked_up_pair, domain_values, logic_scalars, number_scalars,
-    more_text, more_dates, formats, day_shifts, period_edges, month_to_date, last_days, quarter_buckets, nearest_vectors, hybrid_retrieval, text_chunks, value_matches, name_similarity, request_limits,
+    more_text, more_dates, formats, day_shifts, period_edges, month_to_date, last_days, quarter_buckets, nearest_vectors, text_chunks, value_matches, name_similarity, request_limits,
     last_quarters, default_semesters, periods_compared, covered_periods, hard_ranked, blank_group_share, listed_values,
 )}
 
@@ -467,11 +453,6 @@ ORACLE_SQL = {
     "math_scalars": "SELECT l_orderkey, l_linenumber, -l_quantity - l_linenumber * floor(-l_quantity / l_linenumber) AS modulo, trunc(l_quantity / 7) AS truncated, ceil(l_quantity / 7) AS up, round(l_quantity / nullif(l_linenumber - 1, 0), 8) AS divided, ceil(l_quantity / 5) * 5 AS ceiling, sign(l_quantity - 25)::DOUBLE AS sign FROM lineitem",
     "date_scalars": "SELECT o_orderkey, ['enero','febrero','marzo','abril','mayo','junio','julio','agosto','septiembre','octubre','noviembre','diciembre'][month(o_orderdate)] AS month, ['lunes','martes','miércoles','jueves','viernes','sábado','domingo'][isodow(o_orderdate)] AS day, isodow(o_orderdate)::INT AS weekday, last_day(o_orderdate + INTERVAL 1 MONTH)::DATE::VARCHAR AS next_end, date_diff('month', o_orderdate::DATE, DATE '1999-01-01')::INT AS months, date_diff('quarter', o_orderdate::DATE, DATE '1999-01-01')::INT AS quarters FROM orders",
     "detail": "SELECT o_orderkey, n_name, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000",
-    "lexical_retrieval": r"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL),
-        l AS (SELECT doc_id, sum(tf) AS length FROM c GROUP BY ALL), a AS (SELECT count(*) AS n, avg(length) AS mean FROM l), q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')) AS term FROM benchmark) WHERE term <> ''),
-        f AS (SELECT term, count(*) AS df FROM c WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-        s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM c JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc_id), a GROUP BY ALL)
-        SELECT item_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS place FROM s) WHERE place <= 3""",
     "event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "over_limit": "SELECT start, user_id, count(*) AS n FROM (SELECT user_id, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR]) AS start FROM events) GROUP BY ALL HAVING count(*) > 1",
     "both_roles": f"SELECT b.n_name AS buyer, s.n_name AS seller, {_Q} AS quantity, count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON c_nationkey = b.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY ALL",
@@ -517,6 +498,6 @@ ORACLE_SQL = {
     "request_limits": "SELECT event_id, user_id, n, CASE WHEN n > 2 AND frees + 3600 > sec THEN round(frees + 3600 - sec, 6) END AS wait FROM (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n, lag(epoch_us(ts) / 1e6, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frees FROM events)",
 }
 
-for _module in (contexts,):
+for _module in (contexts, retrieval):
     QUERIES |= {f.__name__: plain_types(f) for f in _module.QUERY_LIST}
     ORACLE_SQL |= _module.ORACLE_SQL
