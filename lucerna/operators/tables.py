@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import written
 from .model import Model
 
 
@@ -31,16 +32,23 @@ def top_n(df: DataFrame, n: int, *order: Column | tuple[Column, bool]) -> DataFr
 
 
 def ranked(df: DataFrame, by: Column, name: str = "rank", dense: bool = False, within: tuple[str, ...] = (), up: bool = False) -> DataFrame:
-    """RANKX: ties share a rank; BLANK values have none. Without `within` the distinct values are counted and their
-    running numbers joined back, so that only those meet in one task."""
-    sort = by.asc_nulls_last() if up else by.desc_nulls_last()
+    """RANKX: ties share a rank; BLANK values have none. Without `within` the distinct values are sorted by ranges, each
+    range counts on from those before it, and ranks are joined back by value: no task sees all values."""
     if within:
-        w = Window.partitionBy(*within).orderBy(sort)
+        w = Window.partitionBy(*within).orderBy(by.asc_nulls_last() if up else by.desc_nulls_last())
         return df.withColumn(name, F.when(by.isNotNull(), (F.dense_rank() if dense else F.rank()).over(w)))
-    each = df.groupBy(by.alias("__v")).agg(F.count("*").alias("__n")).where("__v is not null")
-    w = Window.orderBy(F.col("__v").asc() if up else F.col("__v").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(Window.orderBy(F.col("__v").asc() if up else F.col("__v").desc())) if dense else F.coalesce(F.sum("__n").over(w), F.lit(0)) + 1
-    return df.withColumn("__by", by).join(each.select("__v", place.cast("int").alias(name)), F.col("__by") == F.col("__v"), "left").drop("__by", "__v")
+    order = F.col("__v").asc() if up else F.col("__v").desc()
+    each = df.groupBy(by.alias("__v")).agg((F.lit(1) if dense else F.count("*")).cast("long").alias("__n")).where("__v is not null")
+    each = written(each.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__id", 33)))
+    before, sums = 0, []
+    for r in each.groupBy("__range").agg(F.sum("__n").alias("n")).orderBy("__range").collect():  # a row for each partition
+        sums.append((r["__range"], before))
+        before += r["n"]
+    starts = df.sparkSession.createDataFrame(sums, "__range long, __before long")
+    w = Window.partitionBy("__range").orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+    place = (F.col("__before") + F.coalesce(F.sum("__n").over(w), F.lit(0)) + 1).cast("int")
+    ranks = each.join(F.broadcast(starts), "__range").select("__v", place.alias(name))
+    return df.withColumn("__by", by).join(ranks, F.col("__by") == F.col("__v"), "left").drop("__by", "__v")
 
 
 def share(df: DataFrame, value: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
