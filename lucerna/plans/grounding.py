@@ -81,14 +81,14 @@ def unsupported(answers: DataFrame, sources: DataFrame, id_: str, answer: str, s
 
 
 def grounded(answers: DataFrame, sources: DataFrame, id_: str, answer: str, source: str, question: str | None = None) -> DataFrame:
-    """(id, grounded, removed): the answer without unsupported pieces, and how many went. Lines that lose all their pieces
-    go, and headings that end with a colon and have nothing left after them."""
+    """(id, grounded, removed): the answer without unsupported pieces, and how many went. Of an answer that
+    loses pieces, lines without any left and headings (lines that end with a colon) go too."""
     bad = unsupported(answers, sources, id_, answer, source, question).select(id_, "line", "piece")
     counts = bad.groupBy(id_).agg(F.count("*").alias("removed"))
     kept = pieces(answers, id_, answer).join(bad, [id_, "line", "piece"], "left_anti")
     whole = kept.groupBy(id_, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), " ").alias("__t"))
     text = whole.groupBy(id_).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "__t"))), lambda p: p["__t"]), "\n").alias("__text"))
-    tidy = F.trim(F.regexp_replace(F.regexp_replace("__text", r"\n{3,}", "\n\n"), r"(?m)^[^\n]*:\s*$\n?(?=\s*$|\Z)", ""))
+    tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace("__text", r"\n{3,}", "\n\n"), r"(?m)^[^\n]*:[ \t]*$", ""), r"^\s+|\s+$", "")
     out = answers.select(id_, F.col(answer).alias("__a")).join(text, id_, "left").join(counts, id_, "left")
     return out.select(id_, F.when(F.col("removed").isNull(), F.coalesce("__a", F.lit(""))).otherwise(F.coalesce(tidy, F.lit(""))).alias("grounded"), F.coalesce("removed", F.lit(0)).alias("removed"))
 

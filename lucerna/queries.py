@@ -13,7 +13,7 @@ from .operators import model as M
 from .operators import tables as T
 from .operators import time_intelligence as TI
 from .plans import retrieval as R
-from .registry import catalogue, contexts, retrieval, streams
+from .registry import catalogue, contexts, language, retrieval, streams
 from .sources.files import parquet
 from .star import MONEY, model, plain_types
 from .streaming import events as E
@@ -302,12 +302,6 @@ def text_chunks(spark, d):
     return R.chunks(parquet(spark, d, "documents"), "doc_id").select("doc_id", "chunk", F.length("text").alias("n_chars"), "chunk_id")
 
 
-def value_matches(spark, d):
-    p = parquet(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
-    v = T.values(parquet(spark, d, "part"), "p_name")
-    return MT.matched_values(p, v, "p_partkey", "text", "p_name").select("p_partkey", F.round("score", 6).alias("score"))
-
-
 def name_similarity(spark, d):
     p = parquet(spark, d, "part")
     a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
@@ -411,7 +405,7 @@ QUERIES = {f.__name__: plain_types(f) for f in (
     last_year, rolling_quarter, period_buckets, calendar, except_and_intersect, distinct_values, domain_cardinality, looked_up, text_scalars, math_scalars, date_scalars, detail,
     event_counts, over_limit, both_roles, measure_filter_replaces, measure_filter_over_groups, kept_filter, measure_order, unrelated_dimension, measure_of_measures, all_except,
     year_month_pairs, iterated, counts, inspected, edge_values, summarized, related_rows, generated, combined_tables, distinct_tuples, up_and_down, looked_up_pair, domain_values, logic_scalars, number_scalars,
-    more_text, more_dates, formats, day_shifts, period_edges, month_to_date, last_days, quarter_buckets, nearest_vectors, text_chunks, value_matches, name_similarity, request_limits,
+    more_text, more_dates, formats, day_shifts, period_edges, month_to_date, last_days, quarter_buckets, nearest_vectors, text_chunks, name_similarity, request_limits,
     last_quarters, default_semesters, periods_compared, covered_periods, hard_ranked, blank_group_share, listed_values,
 )}
 
@@ -494,10 +488,9 @@ ORACLE_SQL = {
     "blank_group_share": "SELECT blank, total, round(blank / total, 9) AS share FROM (SELECT (sum(l_quantity::DECIMAL(18,4)) FILTER (WHERE l_returnflag = 'N'))::DOUBLE AS blank, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS total FROM lineitem) WHERE blank / total >= 0.1",
     "listed_values": "SELECT value, total, total > 10 AS is_cut FROM (SELECT DISTINCT p_brand AS value FROM part) CROSS JOIN (SELECT count(DISTINCT p_brand) AS total FROM part) ORDER BY lower(value) LIMIT 10",
     "nearest_vectors": "SELECT query, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS place FROM (SELECT q.vec_id AS query, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)) WHERE place <= 5",
-    "value_matches": "SELECT p_partkey, 1.0::DOUBLE AS score FROM part",
     "request_limits": "SELECT event_id, user_id, n, CASE WHEN n > 2 AND frees + 3600 > sec THEN round(frees + 3600 - sec, 6) END AS wait FROM (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n, lag(epoch_us(ts) / 1e6, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frees FROM events)",
 }
 
-for _module in (catalogue, contexts, retrieval, streams):
+for _module in (catalogue, contexts, language, retrieval, streams):
     QUERIES |= {f.__name__: plain_types(f) for f in _module.QUERY_LIST}
     ORACLE_SQL |= _module.ORACLE_SQL
