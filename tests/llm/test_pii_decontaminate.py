@@ -206,3 +206,43 @@ def test_both_ways_count_the_same_seeds(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     rows = [sorted(map(repr, decontaminate.contaminated(docs, bench, broadcast_seeds=n).collect())) for n in (1000, 0)]
     assert len(rows[0]) == 3 and rows[0] == rows[1]
+
+
+def plain_overlaps(docs, items):
+    """Whole rows in plain Python: every place and mask, every window."""
+    import re
+
+    cut = lambda t: [w for w in re.split(r"[^\w]+|_+", (t or "").lower()) if w]
+    out, span = {}, max(map(len, decontaminate.MASKS))
+    items = sorted({(i, t) for i, t in items if i is not None})
+    for doc, text in docs:
+        words = cut(text)
+        for item, other in items:
+            own = cut(other)
+            masks = [m for m in (*decontaminate.MASKS, *decontaminate.SHORT) if m not in decontaminate.SHORT or decontaminate.SHORT[m][0] <= len(own) <= decontaminate.SHORT[m][1]]
+            for m in masks:
+                for i in range(len(words) - len(m) + 1):
+                    for j in range(len(own) - len(m) + 1):
+                        if all(words[i + k] == own[j + k] for k, c in enumerate(m) if c == "1"):
+                            low, high = max(0, j - decontaminate.MARGIN, j - i), min(len(own), j + span + decontaminate.MARGIN, len(words) - i + j)
+                            same = [words[x + i - j] == own[x] for x in range(low, high)]
+                            if len(same) >= min(decontaminate.LEAST, len(own)) and sum(same) >= decontaminate.SHARE * len(same):
+                                places = [x + i - j for x, ok in zip(range(low, high), same, strict=True) if ok]
+                                n, best, a, b = out.get((doc, item), (0, (0, 0), places[0], places[-1]))
+                                out[doc, item] = n + 1, max(best, (sum(same), len(same))), min(a, places[0]), max(b, places[-1])
+    return {(d, i, n, *best, a, b) for (d, i), (n, best, a, b) in out.items()}
+
+
+def test_whole_rows_against_brute_force_on_both_paths(spark):
+    """Item ids with two texts, short items, substitutions, repeated items: equal rows, broadcast and shuffled."""
+    one, two = " ".join(f"a{k}" for k in range(24)), " ".join(f"b{k}" for k in range(16))
+    items = [(1, one), (1, two), (1, one), (2, "x y z"), (3, "solo"), (4, " ".join(f"c{k % 5}" for k in range(15))), (5, None), (None, one)]
+    swapped = one.split()
+    swapped[5], swapped[12] = "zz", "yy"
+    docs = [(10, f"p q {one} r"), (11, f"{two} {' '.join(swapped)}"), (12, "x y z"), (13, "w x y z solo"), (14, " ".join(f"c{k % 5}" for k in range(40))), (15, ""), (16, None), (17, " ".join(swapped[3:]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = plain_overlaps(docs, items)
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {tuple(r[c] for c in ("doc_id", "item_id", "n_seeds", "agree", "length", "first_token", "last_token")) for r in decontaminate.contaminated(d, i, broadcast_seeds=most).collect()}
+        assert got == want, most
+    assert (12, 2, 2, 3, 3, 0, 2) in want or any(r[0] == 12 and r[5:] == (0, 2) for r in want)
