@@ -396,10 +396,11 @@ class Model:
         out = out.select(*aliases, *(self.value(m, known).alias(m) for m in measures))
         return out.where(F.coalesce(*(F.col(m).cast("string") for m in measures)).isNotNull())
 
-    def iterated(self, outer: list[str], inner: list[str], measure: str, how: Callable[[Column], Column], name: str, context: Context = Context(), extra: dict | None = None) -> DataFrame:
-        """SUMX, AVERAGEX, MEDIANX, MINX, MAXX, COUNTX over the values of `inner`: the measure of each, then `how`."""
+    def iterated(self, outer: list[str], inner: list[str], measure: str, how: Mapping[str, Callable[[Column], Column]], context: Context = Context(), extra: dict | None = None) -> DataFrame:
+        """SUMX, AVERAGEX, MEDIANX, MINX, MAXX, COUNTX over the values of `inner`: the measure of each once, then each of
+        `how` under its name."""
         df = self.query([*outer, *inner], [measure], context, extra)
-        return df.groupBy(*(Key.of(g).alias for g in outer)).agg(how(F.col(measure)).alias(name))
+        return df.groupBy(*(Key.of(g).alias for g in outer)).agg(*(f(F.col(measure)).alias(n) for n, f in how.items()))
 
     def edge_nonblank(self, groups: list[str], column: str, measure: str, name: str, last: bool = True, context: Context = Context()) -> DataFrame:
         """LASTNONBLANK, FIRSTNONBLANK: the last or first value of the column at which the measure is not blank."""
