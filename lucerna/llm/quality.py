@@ -135,4 +135,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules(docs, table(spark, sf_dir, "labels"), docs.columns).where("kept").select(*docs.columns)
+    """The documents that are kept. Their other columns, whatever they are called, come back as they were."""
+    used = ["doc_id", "lang", "text"]
+    others = {c: f"__own_{i}" for i, c in enumerate(c for c in docs.columns if c not in used)}
+    safe = docs.select(*used, *(F.col(f"`{c}`").alias(own) for c, own in others.items()))
+    kept = quality_rules(safe, table(spark, sf_dir, "labels"), safe.columns).where("kept")
+    return kept.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))

@@ -163,3 +163,13 @@ def test_events_fold(spark):
     ]
     got = chat.fold(spark.createDataFrame(log, "conv_id long, seq long, turn long, kind string, role string, text string")).orderBy("conv_id", "turn").collect()
     assert [tuple(r) for r in got] == [(1, 1, "user", "hi"), (1, 2, "assistant", "new end"), (1, 3, "user", "again"), (2, 1, "", "orphan")]
+
+
+def test_quality_stage_keeps_the_callers_columns(spark):
+    """Columns that are called like the stage's own come back with their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"kept": F.lit(77), "n_words": F.col("doc_id") * -5, "base_failed": F.lit("mine"), "q_stratum": F.lit(1), "c_n_words": F.lit("c"), "__own_0": F.lit("own")})
+    out = quality.quality_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    was = {r["doc_id"]: r for r in docs.collect()}
+    rows = out.collect()
+    assert rows and all(r == was[r["doc_id"]] for r in rows)
