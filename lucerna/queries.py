@@ -13,7 +13,7 @@ from .operators import model as M
 from .operators import tables as T
 from .operators import time_intelligence as TI
 from .plans import retrieval as R
-from .registry import catalogue, contexts, documents, language, retrieval, streams
+from .registry import catalogue, contexts, documents, language, reports, retrieval, streams
 from .sources.files import parquet
 from .star import MONEY, model, plain_types
 from .streaming import events as E
@@ -486,6 +486,6 @@ ORACLE_SQL = {
     "request_limits": "SELECT event_id, user_id, n, CASE WHEN n > 2 AND frees + 3600 > sec THEN round(frees + 3600 - sec, 6) END AS wait FROM (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n, lag(epoch_us(ts) / 1e6, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frees FROM events)",
 }
 
-for _module in (catalogue, contexts, documents, language, retrieval, streams):
+for _module in (catalogue, contexts, documents, language, reports, retrieval, streams):
     QUERIES |= {f.__name__: plain_types(f) for f in _module.QUERY_LIST}
     ORACLE_SQL |= _module.ORACLE_SQL
