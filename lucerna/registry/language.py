@@ -56,9 +56,9 @@ def resolved_names(spark, d):
 
 
 def similar_names(spark, d):
-    """Distinct names and kinds of parts whose trigrams have a cosine of 0.75 or more."""
+    """Distinct names and kinds of parts whose trigrams have a cosine of 0.77 or more."""
     texts = parquet(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") < 10, F.col("p_brand"))).alias("text"))
-    return SM.alike(texts, "text", 0.75).select("a", "b", "cosine")
+    return SM.alike(texts, "text", 0.77).select("a", "b", "cosine")
 
 
 def value_matches(spark, d):
@@ -85,7 +85,7 @@ ORACLE_SQL = {
     "similar_names": """WITH t AS (SELECT DISTINCT trim(regexp_replace(lower(concat_ws(' ', p_name, p_type, CASE WHEN p_size < 10 THEN p_brand END)), '[^a-z0-9%]+', ' ', 'g')) AS t FROM part),
         g AS (SELECT t, substr('  ' || t || '  ', i, 3) AS gram, count(*) AS n FROM (SELECT t, unnest(generate_series(1, length(t) + 2)) AS i FROM t) GROUP BY ALL), s AS (SELECT t, sqrt(sum(n * n)) AS s FROM g GROUP BY ALL),
         d AS (SELECT a.t AS a, b.t AS b, sum(a.n * b.n) AS dot FROM g a JOIN g b USING (gram) WHERE a.t < b.t GROUP BY ALL)
-        SELECT a, b, round(dot / (x.s * y.s), 6) AS cosine FROM d JOIN s x ON x.t = a JOIN s y ON y.t = b WHERE dot / (x.s * y.s) >= 0.75""",
+        SELECT a, b, round(dot / (x.s * y.s), 6) AS cosine FROM d JOIN s x ON x.t = a JOIN s y ON y.t = b WHERE dot / (x.s * y.s) >= 0.77""",
     "value_matches": """WITH w AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM documents), v AS (SELECT DISTINCT trim(array_to_string(string_split(t, ' ')[1:4], ' ')) AS value FROM w), vv AS (SELECT value, list_distinct(string_split(value, ' ')) AS words FROM v WHERE value <> ''),
         ve AS (SELECT value, len(words) AS n, unnest(words) AS word FROM vv), de AS (SELECT DISTINCT doc_id, unnest(string_split(t, ' ')) AS word FROM w),
         h AS (SELECT doc_id, value, n, count(*) / n AS score FROM de JOIN ve USING (word) GROUP BY doc_id, value, n)
