@@ -3,8 +3,8 @@
 A name's score is 1 and more if it stands in the question as a phrase; else 0.68 of the weight of its words that the question
 has, 0.24 of their likeness and 0.08 of how much of the question they are, if the weights reach 0.6. Words are alike if equal,
 if one is the beginning of the other (six letters at least, up to three more), or by the ratio of their common sequences from
-0.88 on. Words of questions and names meet by join keys, their first letters and their sets of letters left out, so a question
-meets only names with a word that may be alike. The best name is taken if its score is high enough and no other is within the
+0.88 on. Words of questions and names meet by join keys, themselves and their letters by threes, so a question meets only names with a
+word that may be alike; words that have too few threes in common to be that count as unlike. The best name is taken if its score is high enough and no other is within the
 margin; else the question is ambiguous, with all names within it.
 """
 
@@ -17,16 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.matching import canonical
-from ..functions.scalars import plain
+from .similar import normal
 
 LEAST, MARGIN = 0.6, 0.05
 COVERED, ENOUGH, NEAR = 0.82, 0.60, 0.88
 
 
-def normal(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(plain(F.col(text) if isinstance(text, str) else text), "[^a-z0-9%]+", " "))
-
-
 def words(folded: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(folded, " "), lambda w: w != ""), canonical))
 
@@ -44,8 +40,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def keys_of(word: str) -> list[str]:
-    """Join keys of a word: two words of six letters or more with a ratio of 0.88 have at least 0.88 of their letters in
-    common in sequence, so a block of the longer one of four pieces, or the beginning, is in both."""
+    """Join keys of a word: itself, and its letters by threes if it is long enough to be like another one."""
     if len(word) < 6:
         return [word]
     return sorted({word, *(word[i : i + 3] for i in range(len(word) - 2))})
