@@ -135,9 +135,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are kept. Their other columns, whatever they are called, come back as they were."""
-    used = ["doc_id", "lang", "text"]
-    others = {c: f"__own_{i}" for i, c in enumerate(c for c in docs.columns if c not in used)}
-    safe = docs.select(*used, *(F.col(f"`{c}`").alias(own) for c, own in others.items()))
-    kept = quality_rules(safe, table(spark, sf_dir, "labels"), safe.columns).where("kept")
-    return kept.select(*(F.col(others.get(c, c)).alias(c) for c in docs.columns))
+    """The documents that are kept, with their columns as they were, whatever they are called. A verdict depends on
+    language and text alone, so only ids and hashes of these are stored for rejected rows: texts in a checkpoint would
+    lie on disk as long as the result is in use, beside all that the next stage writes. The hashed join moves each text
+    once and sorts none."""
+    key = lambda d: F.xxhash64(d["lang"], d["text"])
+    rows = quality_rules(docs.select("doc_id", "lang", "text", key(docs).alias("key")), table(spark, sf_dir, "labels"), ["doc_id", "key"])
+    gone = written(rows.where(~F.coalesce("kept", F.lit(False))).select("doc_id", "key").distinct()).hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (key(docs) == gone["key"]), "left_anti")
