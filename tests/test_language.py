@@ -56,6 +56,23 @@ def test_corrections_against_all_pairs(spark):
     assert {r["w"]: (r["correction"], r["distance"]) for r in got.collect()} == want and len(want) > 60
 
 
+def test_distances_of_many_pairs_at_once():
+    dice = random.Random(5)
+    words = ["".join(dice.choice("ahscv") for _ in range(dice.randrange(1, 11))) for _ in range(150)]
+    a, b = zip(*((x, y) for x in words for y in words), strict=True)
+    for limit in (1.0, 2.0):
+        assert SP.distances(list(a), list(b), limit).tolist() == [SP.distance(x, y, limit) for x, y in zip(a, b, strict=True)]
+
+
+def test_only_words_with_alike_starts_and_lengths_meet(spark):
+    """Words of the same syllables behind other first letters are no candidates: pairs don't grow with the square of these."""
+    known = spark.createDataFrame([(f"{c}{v}renda{t}",) for c in "abdefghijlmnoprstuwx" for v in "aeiou" for t in ("", "rio", "rionado")], "__w string")
+    pairs = SP.met(spark.createDataFrame([("marrenda",), ("horenda",)], "__w string"), known).distinct().collect()
+    assert {r["__w"] for r in pairs} == {"marrenda", "horenda"}
+    assert all(r["__t"][0] == "m" and len(r["__t"]) <= 10 for r in pairs if r["__w"] == "marrenda")
+    assert all(r["__t"][0] in "ho" and len(r["__t"]) <= 8 for r in pairs if r["__w"] == "horenda")
+
+
 def test_chat_questions(spark):
     cases = {
         "q  valor x servisio ,k pasa??": "que valor por servicio, que pasa?", "3 x 4 d 5 d": "3 x 4 d 5 d", "rayos x y x cama": "rayos x y por cama", "cuantas ciruuuugias hay pa' Lavandria": "cuantas cirugias hay para Lavandria",
