@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lucerna.streaming import events as E
@@ -38,3 +39,90 @@ def test_restart_gives_the_rows_of_the_batch(spark, tmp_path):
     assert ST.live(changes).count() == 0  # all streams have been silent for long
     after = {(r["stream"], r["offset"]) for r in ST.live(changes.where(F.col("change") == "append"), 10).collect()}
     assert after and min(o for _, o in after) == 11
+
+
+class Store:
+    """State of one key in plain Python: what is called, how often."""
+
+    def __init__(self, calls):
+        self.rows, self.calls = [], calls
+
+    def note(self, name):
+        self.calls[name] = self.calls.get(name, 0) + 1
+
+    def appendValue(self, row):
+        self.note("append")
+        self.rows.append(row)
+
+    def appendList(self, rows):
+        self.calls["append"] = self.calls.get("append", 0) + len(rows)
+        self.rows += rows
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def update(self, row):
+        self.rows = [row]
+
+    def clear(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+
+class Listed(Store):
+    def get(self):
+        self.note("get")
+        return iter(self.rows)
+
+
+class Valued(Store):
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = {}, set()
+
+    def getListState(self, name, schema):
+        return Listed(self.calls)
+
+    def getValueState(self, name, schema):
+        return Valued(self.calls)
+
+    def registerTimer(self, at):
+        self.calls["timer"] = self.calls.get("timer", 0) + 1
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def worked_off(processor, batches, columns):
+    """Each batch (watermark, rows) adds its rows, then the timers that the watermark has passed fire."""
+    handle, out = Handle(), []
+    processor.init(handle)
+    for mark, rows in batches:
+        if rows:
+            assert list(processor.handleInputRows((7,), iter([pd.DataFrame(rows, columns=columns)]), Clock(mark))) == []
+        for at in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(at)
+            out += [tuple(r) for frame in processor.handleExpiredTimer((7,), Clock(mark), None) for r in frame.itertuples(index=False)]
+    return out, handle.calls
+
+
+def test_calls_of_the_store_do_not_grow_with_the_events_of_a_key():
+    """2,000 events of a key in two batches, passed in three steps: all come once, in order, with a few calls of the store."""
+    ms = 1000
+    rows = [(k * 50 * ms, k) for k in range(2000)]
+    batches = [(0, rows[1::2]), (10_000, rows[::2]), (40_000, []), (200_000, [])]
+    out, calls = worked_off(ST.Limiter(2, 1), batches, ["at", "event_id"])
+    assert [r[0] for r in out] == list(range(2000)) and [r[2] for r in out[-3:]] == [20, 20, 20] and [r[2] for r in out[:3]] == [1, 2, 3]
+    assert sum(calls.values()) < 30, calls
