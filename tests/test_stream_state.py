@@ -126,3 +126,11 @@ def test_calls_of_the_store_do_not_grow_with_the_events_of_a_key():
     out, calls = worked_off(ST.Limiter(2, 1), batches, ["at", "event_id"])
     assert [r[0] for r in out] == list(range(2000)) and [r[2] for r in out[-3:]] == [20, 20, 20] and [r[2] for r in out[:3]] == [1, 2, 3]
     assert sum(calls.values()) < 30, calls
+
+
+def test_log_of_a_key_with_few_calls_of_the_store():
+    rows = [(k * 50_000, k, f"e{k}") for k in range(2000)]
+    out, calls = worked_off(ST.Log(3, 3600), [(0, rows[1::2]), (10_000, rows[::2]), (40_000, []), (200_000, []), (9_000_000, [])], ["at", "event_id", "event"])
+    kinds = [r[1] for r in out]
+    assert [r[3] for r in out if r[1] == "append"] == list(range(2000)) and kinds.count("trim") == 1997 and kinds.count("expire") == 1
+    assert sum(calls.values()) < 30, calls
