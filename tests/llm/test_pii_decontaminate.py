@@ -246,3 +246,12 @@ def test_whole_rows_against_brute_force_on_both_paths(spark):
         got = {tuple(r[c] for c in ("doc_id", "item_id", "n_seeds", "agree", "length", "first_token", "last_token")) for r in decontaminate.contaminated(d, i, broadcast_seeds=most).collect()}
         assert got == want, most
     assert (12, 2, 2, 3, 3, 0, 2) in want or any(r[0] == 12 and r[5:] == (0, 2) for r in want)
+
+
+def test_tokens_of_an_item_are_sent_once(spark, monkeypatch):
+    """Not with each of its seeds: 200 tokens with 1,600 seeds are far below a bound that all copies of them would pass."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 40_000)
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(200)))], "doc_id long, text string")
+    found = decontaminate.contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text"))
+    assert "md5(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["doc_id"], r["item_id"], r["first_token"], r["last_token"]) for r in found.collect()] == [(1, 1, 0, 199)]
